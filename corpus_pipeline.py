@@ -1,11 +1,15 @@
-"""A training-data pipeline over the ``documents`` table, stage by stage."""
+"""A training-data pipeline over the ``documents`` table, stage by stage.
+
+Every stage gets the rows that the stage before it kept, decides about all of
+them and returns the columns of ``documents``; the last one returns the mix.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusgauge.llm import mixing
+from corpusgauge.llm import decontaminate, jaccard, lines, mixing
 from corpusgauge.llm import toxicity as tox
 from corpusgauge.session import read_table, settle
 
@@ -18,6 +22,24 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return tox.toxicity(docs, labels, keep_text=True).filter(F.col("predicted") == 0).select(*COLUMNS)
 
 
+def drop_template_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines whose template recurs go, but for its first; so does a document
+    that had words and has none left. ``n_chars`` follows the text."""
+    left = lines.drop_recurring_lines(docs.select(*COLUMNS)).filter(~F.col("emptied"))
+    return left.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays."""
+    return jaccard.keep_one(docs.select(*COLUMNS))
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a window of a benchmark item go."""
+    found = decontaminate.decontaminate(docs.select(*COLUMNS), read_table(spark, sf_dir, "benchmark"))
+    return found.filter(F.col("n_hit") == 0).select(*COLUMNS)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """How many words of each remaining document the mix takes."""
     mixed = mixing.mix_sources(docs.select("doc_id", "text", "lang", "source"))
@@ -26,7 +48,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("toxicity", drop_toxic),
-    ("mixing sources", mix_sources),
+    ("line dedup", drop_template_lines),
+    ("n-gram Jaccard join", drop_near_copies),
+    ("benchmark decontamination", drop_contaminated),
+    ("mixing sources to target weights", mix_sources),
 ]
 
 #: The first stage's model can't be written as SQL; tests hold the stages
