@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusgauge.llm import chat, decontaminate, hosts, jaccard, lines, mixing, pii, quality
+from corpusgauge.llm import chat, decontaminate, hosts, jaccard, lines, mixing, pii, quality, repeats
 from corpusgauge.llm import toxicity as tox
 from corpusgauge.llm.oracles import ORACLES
 from corpusgauge.session import read_table
@@ -31,6 +31,13 @@ def op2_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("conv_id", "d.n_turns", "d.turns_sha256", "d.loss_chars", "d.loss_sha256", "d.formatted_chars")
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    cut = repeats.remove_repeats(docs)
+    kept = F.length("kept").cast("long")
+    return cut.select(F.col("id").alias("doc_id"), "n_bytes", (F.col("n_bytes") - kept).alias("n_removed"), (F.size("spans") / 2).cast("long").alias("n_spans"), F.sha2(F.col("kept"), 256).alias("kept_sha256"))
+
+
 def op4_parity_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return jaccard.jaccard_components(docs).select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
@@ -72,7 +79,7 @@ def op10_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", *[f"n_{k}" for k in pii.KINDS], "text")
 
 
-QUERIES = {f.__name__: f for f in (op1_host_trust, op2_reply_trees, op4_parity_jaccard, op5_decontamination, op6_template_lines, op7_factorization_toxicity, op8_adaptive_quality, op9_source_mixing, op10_feistel_pseudonyms)}
+QUERIES = {f.__name__: f for f in (op1_host_trust, op2_reply_trees, op3_suffix_dedup, op4_parity_jaccard, op5_decontamination, op6_template_lines, op7_factorization_toxicity, op8_adaptive_quality, op9_source_mixing, op10_feistel_pseudonyms)}
 
 
 def queries() -> dict:
