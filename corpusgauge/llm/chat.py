@@ -84,20 +84,23 @@ def best_paths(messages: DataFrame, n_paths: int = 1) -> DataFrame:
     nodes = nodes.join(known, same & (F.col("parent") == F.col("m2")), "left").select("tree", "msg", F.col("m2").alias("parent"), "score")
     has_child = nodes.select(F.col("tree").alias("t2"), F.col("parent").alias("m2")).filter("m2 is not null").distinct()
     leaf = nodes.join(has_child, same & (F.col("msg") == F.col("m2")), "left_anti").select("tree", "msg")
-    # up: the ancestor 2**k steps above, the steps and the score up to it
-    jumps = [settle(nodes.select("tree", "msg", F.col("parent").alias("up"), F.when(F.col("parent").isNotNull(), 1).otherwise(0).cast("long").alias("steps"), F.col("score").alias("total")))]
-    n = jumps[0].count()
-    while len(jumps) <= n.bit_length() and jumps[-1].filter("up is not null").limit(1).count():
-        a = jumps[-1]
-        b = a.select(F.col("tree").alias("t2"), F.col("msg").alias("m2"), F.col("up").alias("up2"), F.col("steps").alias("s2"), F.col("total").alias("sum2"))
-        a = a.join(b, same & (F.col("up") == F.col("m2")), "left")
-        jumps.append(settle(a.select("tree", "msg", F.col("up2").alias("up"), (F.col("steps") + F.coalesce("s2", F.lit(0))).alias("steps"), (F.col("total") + F.coalesce("sum2", F.lit(0.0))).alias("total"))))
-    ends = jumps[-1].filter("up is null").join(leaf.select(F.col("tree").alias("t2"), F.col("msg").alias("m2")), same & (F.col("msg") == F.col("m2")), "left_semi")
+    # up: the ancestor 2**k steps above, the steps and the score up to it; only
+    # messages as deep as that take part, the others have reached their root
+    first = settle(nodes.select("tree", "msg", F.col("parent").alias("up"), F.when(F.col("parent").isNotNull(), 1).otherwise(0).cast("long").alias("steps"), F.col("score").alias("total")))
+    done, jumps = first.filter("up is null"), [first.filter("up is not null")]
+    n = first.count()
+    while len(jumps) <= n.bit_length() + 1 and jumps[-1].limit(1).count():
+        above = jumps[-1].unionByName(done).select(F.col("tree").alias("t2"), F.col("msg").alias("m2"), F.col("up").alias("up2"), F.col("steps").alias("s2"), F.col("total").alias("sum2"))
+        both = jumps[-1].join(above, same & (F.col("up") == F.col("m2")))
+        new = settle(both.select("tree", "msg", F.col("up2").alias("up"), (F.col("steps") + F.col("s2")).alias("steps"), (F.col("total") + F.col("sum2")).alias("total")))
+        done = done.unionByName(new.filter("up is null"))
+        jumps.append(new.filter("up is not null"))
+    ends = done.join(leaf.select(F.col("tree").alias("t2"), F.col("msg").alias("m2")), same & (F.col("msg") == F.col("m2")), "left_semi")
     rank = F.row_number().over(Window.partitionBy("tree").orderBy((F.col("total") / (F.col("steps") + 1)).desc(), "msg"))
     chosen = ends.withColumn("path_rank", rank).filter(F.col("path_rank") <= n_paths)
     path = chosen.select("tree", F.col("msg").alias("leaf"), "path_rank", F.col("steps").alias("depth"), "msg")
     for k, jump in enumerate(jumps[:-1]):
-        up = jump.filter("up is not null").select(F.col("tree").alias("t2"), F.col("msg").alias("m2"), F.col("up").alias("to"))
+        up = jump.select(F.col("tree").alias("t2"), F.col("msg").alias("m2"), F.col("up").alias("to"))
         higher = path.join(up, same & (F.col("msg") == F.col("m2"))).select("tree", "leaf", "path_rank", (F.col("depth") - 2**k).alias("depth"), F.col("to").alias("msg"))
         path = path.unionByName(higher)
         if k % 4 == 3:
