@@ -20,7 +20,8 @@ def overlaps(texts: list[Column], pairs: list[tuple[int, int]]) -> Column:
     """Struct of counts over token arrays.
 
     ``n<i>`` distinct tokens, ``q<i>`` sum of squared counts, and for each pair
-    i < j ``d<i><j>`` the dot product and ``s<i><j>`` the shared distinct tokens.
+    i < j ``p<i><j>``: dot product ``d``, shared distinct tokens ``s`` and the sum of
+    the smaller counts ``m``.
     """
 
     def tag(i: int):
@@ -37,6 +38,10 @@ def overlaps(texts: list[Column], pairs: list[tuple[int, int]]) -> Column:
     def total(values: Column) -> Column:
         return F.aggregate(values, F.lit(0).cast("long"), lambda acc, x: acc + x)
 
+    def pair_counts(m: Column) -> Column:
+        dot, clipped = (total(F.transform(m, f)) for f in (lambda x: x["d"], lambda x: x["m"]))
+        return F.struct(dot.alias("d"), F.size(m).alias("s"), clipped.alias("m"))
+
     def summary(r: Column) -> Column:
         fields = []
         for i in range(len(texts)):
@@ -44,7 +49,7 @@ def overlaps(texts: list[Column], pairs: list[tuple[int, int]]) -> Column:
             fields += [F.size(own).alias(f"n{i}"), total(F.transform(own, lambda x: x["n"] * x["n"])).alias(f"q{i}")]
         for i, j in pairs:
             match = F.filter(F.transform(r, _match(r, i, j)), lambda x: x.isNotNull())
-            fields.append(bind(match, lambda m: F.struct(total(m).alias("d"), F.size(m).alias("s"))).alias(f"p{i}{j}"))
+            fields.append(bind(match, pair_counts).alias(f"p{i}{j}"))
         return F.struct(*fields)
 
     return bind(ordered, lambda a: bind(run_starts(a), lambda s: bind(runs(a, s), summary)))
@@ -55,11 +60,12 @@ def _is(i: int):
 
 
 def _match(r: Column, i: int, j: int):
-    """Product of the counts where a run of text j meets its token in text i."""
+    """Product and minimum of the counts where text j has a token of text i."""
 
     def product(x: Column, k: Column) -> Column:
         back = [F.when((F.get(r, k - d)["r"] == i) & (F.get(r, k - d)["t"] == x["t"]), F.get(r, k - d)["n"]) for d in range(1, j - i + 1)]
-        return F.when(x["r"] == j, F.coalesce(*back) * x["n"])
+        other = F.coalesce(*back)
+        return F.when((x["r"] == j) & other.isNotNull(), F.struct((other * x["n"]).alias("d"), F.least(other, x["n"]).alias("m")))
 
     return product
 
