@@ -8,9 +8,11 @@ elements, so in at most D = a // 4, as b <= 1.25 a.
 words, and a word is the XOR of the codes of its shingles. An element that only
 one set has changes one word, so the number of differing words is a lower bound
 of the symmetric difference. *Pigeonhole.* If more than D words of a set are not
-empty, one of them must be the same in both; ordering the words by how many
-shingles they hold (equal words hold equally many), the first D + 1 of each set
-suffice, and words of single, often common, shingles are left out. A set
+empty, one of them must be the same in both; in any order of the words by what
+they hold, the first D + 1 of each set suffice. Words of common shingles only
+come last, then words of few shingles, so that a passage that many documents
+share makes no candidates. How common a shingle is comes from a table of 2**18
+hashed counters over all documents, whose size doesn't grow with them. A set
 with too few filled words also enters the next level, with other hashes; as two
 linked sets can only miss each other if both have too few, the levels lose
 nothing, and sets that fail all levels meet in one key of their band. Bands span
@@ -43,6 +45,7 @@ from corpusgauge.session import settle
 U = np.uint64
 K = 5
 LEVELS = 8
+SLOT_BITS = 18
 SKETCH_BITS = 512
 
 
@@ -62,7 +65,40 @@ def shingle_sets(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndar
     return text, code, np.bincount(text, minlength=len(offs) - 1)
 
 
-def words_of_band(text: np.ndarray, code: np.ndarray, sizes: np.ndarray, band: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def slot(code: np.ndarray) -> np.ndarray:
+    return (mix(code + U(0x632BE59BD9B4E019)) >> U(64 - SLOT_BITS)).astype(np.int64)
+
+
+def commonness(docs: DataFrame, text: str) -> np.ndarray:
+    """Per hashed counter: 0 up to 4 times the mean count of its shingles' sets,
+    then one more for each doubling."""
+    block = 1 << 10
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(1 << SLOT_BITS, np.int64)
+        for batch in batches:
+            for _, buf, offs in text_slices(batch.column(0)):
+                table += np.bincount(slot(shingle_sets(buf, offs)[1]), minlength=len(table))
+        if table.any():
+            parts = [x.tobytes() for x in table.reshape(-1, block)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(parts))), pa.array(parts, pa.binary())], ["block", "counts"])
+
+    def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for b, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                sums[b] = sums.get(b, 0) + np.frombuffer(x.as_py(), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["block", "counts"])
+
+    parts = docs.select(text).mapInArrow(count, "block long, counts binary")
+    table = np.zeros(1 << SLOT_BITS, np.int64)
+    for row in parts.repartition("block").mapInArrow(add, "block long, counts binary").collect():  # 2 MB in all
+        table[row["block"] * block : (row["block"] + 1) * block] = np.frombuffer(row["counts"], np.int64)
+    often = table / (4 * max(1.0, table.mean()))
+    return np.where(often > 1, 1 + np.floor(np.log2(np.maximum(often, 1))), 0).astype(np.uint8)
+
+
+def words_of_band(text: np.ndarray, code: np.ndarray, rank_of: np.ndarray, sizes: np.ndarray, band: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Keys of the first D + 1 filled parity words of each text in its band.
 
     Returns text and key of each, and the texts with too few filled words.
@@ -78,7 +114,8 @@ def words_of_band(text: np.ndarray, code: np.ndarray, sizes: np.ndarray, band: n
     held = np.diff(np.r_[first, len(order)])
     owner = text[order][first]
     key = mix(value ^ mix(salt[owner] + part[order][first]))
-    rank_order = np.lexsort((key, -held, owner))
+    common = np.minimum.reduceat(rank_of[order], first)
+    rank_order = np.lexsort((key, -held, common, owner))
     owner, key = owner[rank_order], key[rank_order]
     start = np.searchsorted(owner, np.arange(len(sizes)))
     rank = np.arange(len(owner)) - start[owner]
@@ -88,9 +125,10 @@ def words_of_band(text: np.ndarray, code: np.ndarray, sizes: np.ndarray, band: n
     return owner[keep], key[keep], np.flatnonzero((filled < need) & (sizes > 0))
 
 
-def pigeonhole_keys(text: np.ndarray, code: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def pigeonhole_keys(text: np.ndarray, code: np.ndarray, sizes: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Text and key of all join keys. Sets below 4 can't be linked unless equal."""
     texts, keys = [np.zeros(0, np.int64)], [np.zeros(0, U)]
+    rank_of = common[slot(code)]
     own = np.zeros(len(sizes), np.int64)
     big = sizes >= 4
     own[big] = np.floor(np.log2(sizes[big])).astype(np.int64)
@@ -100,7 +138,7 @@ def pigeonhole_keys(text: np.ndarray, code: np.ndarray, sizes: np.ndarray) -> tu
             inside = members[text]
             t, c = text[inside], code[inside]
             s = np.where(members, sizes, 0)
-            owner, key, failed = words_of_band(t, c, s, np.maximum(band, 0), level)
+            owner, key, failed = words_of_band(t, c, rank_of[inside], s, np.maximum(band, 0), level)
             texts.append(owner)
             keys.append(key)
             members = np.zeros(len(sizes), bool)
@@ -121,6 +159,7 @@ def sketch(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     ``cls`` is a 64-bit code of the whole set: rows of one class have equal sets.
     """
     source = docs.select(text, F.col(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("th"))
+    shared = docs.sparkSession.sparkContext.broadcast(commonness(docs, text))
     schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("th", T.LongType()), *SKETCHED.fields])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,7 +173,7 @@ def sketch(docs: DataFrame, id_col: str, text: str) -> DataFrame:
                 cls = mix(total[first + sizes] - total[first] + mix(sizes.astype(U)))
                 bits = np.bincount(t * SKETCH_BITS + (mix(code) >> U(55)).astype(np.int64), minlength=n_texts * SKETCH_BITS) & 1
                 words = np.packbits(bits.astype(np.uint8)).view(np.int64)
-                owner, key = pigeonhole_keys(t, code, sizes)
+                owner, key = pigeonhole_keys(t, code, sizes, shared.value)
                 order = np.argsort(owner, kind="stable")
                 offsets = np.searchsorted(owner[order], np.arange(n_texts + 1)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
