@@ -220,20 +220,88 @@ def linked(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def verify(pairs: DataFrame, classes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """The linked among the candidate pairs of classes ``a, b``."""
+def near_pairs(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``a, b`` that sizes and sketches don't rule out."""
     left = classes.select(F.col("cls").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("s_a"))
     right = classes.select(F.col("cls").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("s_b"))
     near = pairs.join(left, "a").join(right, "b")
     small, large = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
     apart = sum((F.bit_count(F.col("s_a")[i].bitwiseXOR(F.col("s_b")[i])) for i in range(SKETCH_BITS // 64)), F.lit(0))
     # shared <= small, union >= large; differing = union - shared
-    near = near.filter((100 * small >= percent * large) & (apart * (100 + percent) <= (100 - percent) * (F.col("n_a") + F.col("n_b")))).select("a", "b")
+    return near.filter((100 * small >= percent * large) & (apart * (100 + percent) <= (100 - percent) * (F.col("n_a") + F.col("n_b")))).select("a", "b")
+
+
+def verify(near: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """The linked among pairs of classes ``a, b``, by their texts."""
     with_a = near.join(texts.select(F.col("cls").alias("a"), F.col("text").alias("text_a")), "a")
     with_b = with_a.join(texts.select(F.col("cls").alias("b"), F.col("text").alias("text_b")), "b")
     return linked(with_b, percent)
 
 
+BLOCK = 512
+
+
+def open_pairs(shared: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """All pairs that share a key, are of different components and that sizes and
+    sketches don't rule out.
+
+    A key's rows are dealt to blocks of about 512, and each pair of blocks is
+    one unit of work, so a key of m rows makes m * m / 512 rows and no task
+    holds more than two blocks of it. Within a unit all pairs are compared as
+    arrays, and only those that pass become rows.
+    """
+    counts = shared.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    rows = shared.join(counts, "key").join(classes, "cls")
+    own = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
+    units = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    units = units.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "cls", "root", F.col("n").cast("int").alias("n"), "sketch")
+    dealt = units.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+
+    def compare(part: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        own, cls, root, n, sketches = part
+        low = own == own.min()
+        first, second = (np.flatnonzero(low), np.flatnonzero(~low)) if not low.all() else (np.arange(len(own)),) * 2
+        found_a, found_b = [], []
+        for i in first.tolist():
+            j = second[root[second] != root[i]]
+            if low.all():
+                j = j[j > i]
+            small, large = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
+            j = j[100 * small >= percent * large]
+            apart = np.bitwise_count(sketches[j] ^ sketches[i]).sum(1, dtype=np.int64)
+            j = j[apart * (100 + percent) <= (100 - percent) * (n[i] + n[j])]
+            found_a.append(np.minimum(cls[i], cls[j]))
+            found_b.append(np.maximum(cls[i], cls[j]))
+        return np.concatenate(found_a), np.concatenate(found_b)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        held_unit = None
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            a, b = compare([np.concatenate(x) for x in zip(*held, strict=True)])
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, lo, hi, own, cls, root, n = (batch.column(i).to_numpy() for i in range(7))
+            sketches = batch.column(7).flatten().to_numpy().view(U).reshape(-1, SKETCH_BITS // 64)
+            new = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])])
+            for s, e in zip(new.tolist(), np.r_[new[1:], len(key)].tolist(), strict=True):
+                unit = (key[s], lo[s], hi[s])
+                if held and unit != held_unit:
+                    yield from flush()
+                    held = []
+                held_unit = unit
+                held.append([x[s:e] for x in (own, cls, root, n.astype(np.int64), sketches)])
+        if held:
+            yield from flush()
+
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
 def with_roots(shared: DataFrame, roots: DataFrame) -> DataFrame:
     """Key rows with their component; keys of a single component go."""
     at = shared.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("key", "cls", F.coalesce("root", "cls").alias("root"))
@@ -241,7 +309,7 @@ def with_roots(shared: DataFrame, roots: DataFrame) -> DataFrame:
     return at.join(spans, "key", "left_semi")
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text", percent: int = 80, max_star_rounds: int = 4) -> DataFrame:
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text", percent: int = 80, max_star_rounds: int = 2) -> DataFrame:
     """``id, th, n_shingles, component_id`` for each row of ``docs``.
 
     ``component_id`` is the smallest id reachable by links, the own one
@@ -264,7 +332,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("th"))
     texts = settle(source.join(wanted, source["id"].eqNullSafe(wanted["id"]) & (source["th"] == wanted["th"])).select("cls", "text").dropDuplicates(["cls"]))
     classes = classes.select("cls", "n", "sketch")
-    links = settle(verify(shared.filter("cls != rep").select(F.col("cls").alias("a"), F.col("rep").alias("b")).distinct(), classes, texts, percent))
+    first = shared.filter("cls != rep").select(F.col("cls").alias("a"), F.col("rep").alias("b")).distinct()
+    links = settle(verify(near_pairs(first, classes, percent), texts, percent))
     roots = connected_components(links)
     shared = settle(with_roots(shared.select("key", "cls"), roots))
     for turn in range(max_star_rounds):
@@ -275,15 +344,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
         if left <= 4 * shared.count():
             break
         star = shared.join(per_key.select("key", "main"), "key").filter("root != main.root").select(F.col("cls").alias("a"), F.col("main.rep").alias("b")).distinct()
-        more = settle(verify(star, classes, texts, percent))
+        more = settle(verify(near_pairs(star, classes, percent), texts, percent))
         if more.limit(1).count() == 0:
             break
         links = links.unionByName(more)
         roots = connected_components(links)
         shared = settle(with_roots(shared.select("key", "cls"), roots))
-    other = shared.select("key", F.col("cls").alias("b"), F.col("root").alias("root_b"))
-    rest = shared.join(other, "key").filter((F.col("root") != F.col("root_b")) & (F.col("cls") < F.col("b"))).select(F.col("cls").alias("a"), "b").distinct()
-    links = links.unionByName(settle(verify(rest, classes, texts, percent)))
+    links = links.unionByName(settle(verify(open_pairs(shared, classes, percent), texts, percent)))
     roots = connected_components(links)
     found = rows.select("id", "th", "n", "cls").join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     lowest = found.filter("n > 0").groupBy("root").agg(F.min("id").alias("low"))
