@@ -278,7 +278,7 @@ def cut_out(docs: pa.Table, ranges: pa.Table) -> pa.Table:
     order = np.lexsort((first, th, doc))
     doc, th, first, end = (x[order] for x in (doc, th, first, end))
     new = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (th[1:] != th[:-1])]) if len(doc) else np.zeros(0, np.int64)
-    stop = np.r_[new[1:], len(doc)]
+    stop = np.r_[new[1:], len(doc)] if len(new) else new
     part = {(int(doc[a]), int(th[a])): (a, b) for a, b in zip(new, stop, strict=True)}
     n_bytes, spans, kept = [], [], []
     for d, t, text in zip(docs.column("doc").to_pylist(), docs.column("th").to_pylist(), docs.column("text"), strict=True):
