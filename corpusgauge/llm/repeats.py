@@ -211,8 +211,9 @@ def cut_segments(n_shards: int):
     return run
 
 
-def window_sources(texts: list[bytes], doc: np.ndarray, length: int) -> list[np.ndarray]:
-    """For each segment and each of its windows the smallest document with it."""
+def window_runs(texts: list[bytes], doc: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """Runs of windows of a segment that have one smallest document: segment,
+    first window, window after the last, document; ordered by segment."""
     sizes = np.array([len(t) for t in texts])
     first = np.cumsum(sizes + 1) - sizes - 1
     total = int(sizes.sum()) + len(texts)
@@ -231,7 +232,16 @@ def window_sources(texts: list[bytes], doc: np.ndarray, length: int) -> list[np.
     np.minimum.at(lowest, run[live], doc[owner[sa[live]]])
     source = np.empty(total, np.int64)
     source[sa] = lowest[run]
-    return [source[f : f + s - length + 1] for f, s in zip(first.tolist(), sizes.tolist(), strict=True)]
+    place = np.flatnonzero(ends - np.arange(total) >= length)
+    segment, source = owner[place], source[place]
+    new = np.flatnonzero(np.r_[True, (segment[1:] != segment[:-1]) | (source[1:] != source[:-1])])
+    segment = segment[new]
+    start = place[new] - first[segment]
+    return segment, start, start + np.diff(np.r_[new, len(place)]), source[new]
+
+
+def pair_code(h: np.ndarray, code: np.ndarray) -> np.ndarray:
+    return mix(h.view(U) ^ mix(code.view(U)))
 
 
 def repeated_ranges(length: int, n_chunks: int):
@@ -250,19 +260,19 @@ def repeated_ranges(length: int, n_chunks: int):
         if not texts or not uses.num_rows:
             return pa.table({"part": pa.array([], pa.int32()), "blob": pa.array([], pa.binary())})
         h, code, doc = (np.concatenate(x) for x in (hs, codes, docs))
-        sources = window_sources(texts, doc, length)
-        which = {k: i for i, k in enumerate(zip(h.tolist(), code.tolist(), strict=True))}
+        owner, start, end, source = window_runs(texts, doc, length)
+        runs = np.searchsorted(owner, np.arange(len(texts) + 1))
+        keys = pair_code(h, code)
+        order = np.argsort(keys)
         h, code, doc, th, first = gather(uses.column("blob").to_pylist(), 5)
-        segment = np.array([which[k] for k in zip(h.tolist(), code.tolist(), strict=True)], np.int64)
-        found = []
-        order = np.lexsort((doc, segment))
-        for i in order.tolist():
-            earlier = sources[segment[i]] < doc[i]
-            if earlier.any():
-                flips = np.flatnonzero(np.diff(np.r_[False, earlier, False]))
-                for a, b in zip(flips[::2].tolist(), flips[1::2].tolist(), strict=True):
-                    found.append((doc[i], th[i], first[i] + a, first[i] + b - 1 + length))
-        cols = np.array(found, np.int64).reshape(-1, 4).T
+        segment = order[np.searchsorted(keys[order], pair_code(h, code))]
+        # each use with each run of its segment
+        n = runs[segment + 1] - runs[segment]
+        use = np.repeat(np.arange(len(h)), n)
+        pick = np.repeat(runs[segment], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        earlier = source[pick] < doc[use]
+        use, pick = use[earlier], pick[earlier]
+        cols = (doc[use], th[use], first[use] + start[pick], first[use] + end[pick] - 1 + length)
         out = list(by_part(home(cols[0], cols[1], n_chunks), n_chunks, *cols))
         return pa.table({"part": pa.array([r[0] for r in out], pa.int32()), "blob": pa.array([r[1] for r in out], pa.binary())})
 
