@@ -102,9 +102,7 @@ def best_paths(messages: DataFrame, n_paths: int = 1) -> DataFrame:
     for k, jump in enumerate(jumps[:-1]):
         up = jump.select(F.col("tree").alias("t2"), F.col("msg").alias("m2"), F.col("up").alias("to"))
         higher = path.join(up, same & (F.col("msg") == F.col("m2"))).select("tree", "leaf", "path_rank", (F.col("depth") - 2**k).alias("depth"), F.col("to").alias("msg"))
-        path = path.unionByName(higher)
-        if k % 4 == 3:
-            path = settle(path)
+        path = settle(path.unionByName(higher))
     return path
 
 
