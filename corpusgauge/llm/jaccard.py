@@ -310,10 +310,11 @@ def with_roots(shared: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text", percent: int = 80, max_star_rounds: int = 2) -> DataFrame:
-    """``id, th, n_shingles, component_id`` for each row of ``docs``.
+    """``id, th, n_shingles, component_id, root`` for each row of ``docs``.
 
     ``component_id`` is the smallest id reachable by links, the own one
-    included. ``th`` is a hash of the text, which tells repeated ids apart. Null
+    included. ``root`` tells components apart, also those whose smallest id is
+    null or the same. ``th`` is a hash of the text, which tells repeated ids apart. Null
     and empty texts have empty sets and are linked with nothing; null ids are
     compared like others and take the component's smallest id that isn't null
     (null if there is none). Equal rows are linked. An empty table gives an empty
@@ -355,18 +356,19 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     found = rows.select("id", "th", "n", "cls").join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     lowest = found.filter("n > 0").groupBy("root").agg(F.min("id").alias("low"))
     out = found.join(lowest, "root", "left")
-    return out.select("id", "th", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("low")).otherwise(F.col("id")).alias("component_id"))
+    return out.select("id", "th", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("low")).otherwise(F.col("id")).alias("component_id"), "root")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", percent: int = 80) -> DataFrame:
     """``docs`` with one document of each component: the one of the smallest id.
 
     Of repeated ids within a component the row of the smallest text hash stays,
-    and of equal rows one. Documents without words all stay.
+    and of equal rows one. Components aren't told apart by their ids, so unlinked
+    documents of null or repeated ids all stay, as do documents without words.
     """
     th = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
     found = jaccard_components(docs, id_col, text, percent)
-    best = found.filter("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("no"), F.col("id").alias("id"), F.col("th").alias("th"))).alias("one"))
+    best = found.filter("n_shingles > 0").groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("no"), F.col("id").alias("id"), F.col("th").alias("th"))).alias("one"))
     stay = best.select("one.id", "one.th").withColumn("_words", F.lit(True)).unionByName(found.filter("n_shingles = 0").select("id", "th").distinct().withColumn("_words", F.lit(False)))
     stay = stay.select(F.col("id").alias("_id"), F.col("th").alias("_th"), "_words")
     marked = docs.withColumn("_own", th).join(stay, F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_th")))

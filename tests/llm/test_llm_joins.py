@@ -261,6 +261,16 @@ def test_jaccard_keeps_one_of_each_group(spark):
     assert jaccard.jaccard_components(docs_of(spark, [(1, ""), (2, None)])).count() == 2
 
 
+def test_jaccard_keeps_unlinked_documents_of_null_and_repeated_ids(spark):
+    rng = random.Random(8)
+    text = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(40)) for _ in range(6)]
+    rows = [(None, text[0]), (None, text[1]), (7, text[2]), (7, text[3]), (None, text[4]), (None, text[4] + " tail"), (7, text[5]), (8, text[5])]
+    kept = sorted(((r.doc_id, r.text) for r in jaccard.keep_one(docs_of(spark, rows)).collect()), key=repr)
+    copies = [r for r in kept if r[0] is None and r[1].startswith(text[4])]
+    assert len(copies) == 1
+    assert kept == sorted([*rows[:4], copies[0], rows[6]], key=repr)
+
+
 def test_parity_keys_never_miss_a_pair():
     """Any two sets of Jaccard 0.8 or more share a key, also tiny ones."""
     rng = np.random.default_rng(7)
