@@ -9,7 +9,9 @@ them back. Separators, lengths and check digits stay valid.
 Kinds: payment cards (Luhn digit), bank account numbers (mod 97), social
 security numbers, telephone numbers with a country code, IPv4 addresses, dates
 of the years 1900 to 2099, and the local part of e-mail addresses. What doesn't
-validate isn't touched.
+validate isn't touched. A card or account number may stand between other numbers
+and words: the part that validates is replaced. Where several readings validate
+the usual way of writing is taken.
 """
 
 from __future__ import annotations
@@ -29,13 +31,25 @@ ROUNDS = 10
 EMAIL = re.compile(r"(?<![A-Za-z0-9._%+-])([A-Za-z0-9._%+-]{1,64})@((?:[A-Za-z0-9-]{1,63}\.)+[A-Za-z]{2,24})")
 NUMBERS = re.compile(
     r"(?<![\w.])(?P<ip>\d{1,3}(?:\.\d{1,3}){3})(?![\w]|\.\d)"
-    r"|(?<![\w-])(?P<iso>\d{4}-\d{2}-\d{2})(?![\w-])"
+    r"|(?<![\w-])(?P<iso>\d{4}-\d{2}-\d{2})(?:(?![\w-])|(?=T\d\d))"
     r"|(?<![\w./])(?P<dmy>\d{1,2}(?P<sep>[./])\d{1,2}(?P=sep)\d{4})(?![\w/])"
     r"|(?<![\w-])(?P<ssn>\d{3}-\d{2}-\d{4})(?![\w-])"
     r"|(?<![\w+])(?P<phone>\+\d{1,3}(?:[ .-]?\(\d{2,4}\))?(?:[ .-]?\d{2,4}){2,4})(?!\d)"
     r"|(?<![A-Za-z0-9])(?P<iban>[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?![A-Za-z0-9])"
     r"|(?<![\w-])(?P<card>\d(?:[ -]?\d){12,18})(?![\w]|-\d)"
 )
+#: A card as it is usually written: unbroken, or in groups of 4-4-4-4, 4-6-5 or 4-6-4.
+USUAL = re.compile(r"(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4}|\d{4}([ -])\d{6}\2\d{4,5})(?!\w)")
+#: Lengths of bank account numbers by country.
+IBAN_LENGTHS = {
+    n: set(countries.split())
+    for n, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FO GL NL SD FK", 19: "MK SI", 20: "AT BA EE KZ LT LU XK MN", 21: "CH HR LI LV",
+        22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ TL OM SO", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "PT ST LY",
+        26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE",
+        31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+}
 DAY_0, DAYS = datetime.date(1900, 1, 1).toordinal(), (datetime.date(2100, 1, 1) - datetime.date(1900, 1, 1)).days
 
 
@@ -114,22 +128,75 @@ def respell(shape: str, symbols: str) -> str:
     return "".join(next(it) if c.isalnum() else c for c in shape)
 
 
+def is_card(digits: str) -> bool:
+    return luhn_digit(digits[:-1]) == digits[-1] and len(set(digits)) > 1
+
+
 def card(f: Feistel, found: str, back: bool) -> str | None:
     digits = re.sub(r"\D", "", found)
-    if luhn_digit(digits[:-1]) != digits[-1] or len(set(digits)) == 1:
+    if not is_card(digits):
         return None
-    body = f.symbols(digits[:-1], "card", back)
-    return respell(found, body + luhn_digit(body))
+    # a longer value steps on until its first 16 digits are a card or none as before: it's read back at the same length
+    as_before = is_card(digits[:16])
+    while True:
+        body = f.symbols(digits[:-1], "card", back)
+        digits = body + luhn_digit(body)
+        if len(digits) <= 16 or is_card(digits[:16]) == as_before:
+            return respell(found, digits)
+
+
+def card_ends(found: str, odd: bool) -> list[int]:
+    """Ends of what may be a card at the start of ``found``, best first: as
+    usually written; groups of four digits or more and a last one, from long to
+    short; with ``odd`` all of ``found`` in whatever groups."""
+    usual = USUAL.match(found)
+    ends = [usual.end()] if usual else []
+    groups = list(re.finditer(r"\d+", found))
+    for k in reversed(range(len(groups))):
+        end = groups[k].end()
+        if all(len(g[0]) >= 4 for g in groups[:k]) and 13 <= sum(len(g[0]) for g in groups[: k + 1]):
+            ends.append(end)
+    return list(dict.fromkeys([*ends, *([len(found)] if odd else [])]))
+
+
+def usual_card_later(found: str, text: str, start: int) -> bool:
+    """A card as usually written starts at a later group of ``found``."""
+    for g in re.finditer(r"(?<= )\d+", found):
+        usual = USUAL.match(text, start + g.start())
+        if usual and is_card(re.sub(r"\D", "", usual[0])):
+            return True
+    return False
+
+
+def iban_ends(found: str) -> tuple[list[int], list[int]]:
+    """Ends of what may be an account number: at its country's length; others from long to short."""
+    ends = [m.end() for m in re.finditer(r"[A-Z0-9]+", found)][::-1]
+    of_country = [e for e in ends if found[:2] in IBAN_LENGTHS.get(len(found[:e].replace(" ", "")), ())]
+    return of_country, [e for e in ends if e not in of_country]
+
+
+def country_iban_later(found: str, text: str, start: int) -> bool:
+    """An account number of its country's length starts at a later word of ``found``."""
+    for g in re.finditer(r"(?<= )[A-Z]{2}\d{2}", found):
+        m = NUMBERS.match(text, start + g.start())
+        if m and m["iban"] and any(is_iban(m["iban"][:e]) for e in iban_ends(m["iban"])[0]):
+            return True
+    return False
 
 
 def _mod97(country: str, check: str, body: str) -> int:
     return int("".join(str(int(c, 36)) for c in body + country + check)) % 97
 
 
+def is_iban(found: str) -> bool:
+    plain = found.replace(" ", "")
+    return 15 <= len(plain) <= 34 and _mod97(plain[:2], plain[2:4], plain[4:]) == 1
+
+
 def iban(f: Feistel, found: str, back: bool) -> str | None:
     plain = found.replace(" ", "")
-    country, check, body = plain[:2], plain[2:4], plain[4:]
-    if not 15 <= len(plain) <= 34 or _mod97(country, check, body) != 1:
+    country, body = plain[:2], plain[4:]
+    if not is_iban(found):
         return None
     body = f.symbols(body, "iban" + country, back)
     return respell(found, f"{country}{98 - _mod97(country, '00', body):02d}{body}")
@@ -194,16 +261,35 @@ def pseudonymise(text: str, f: Feistel, back: bool = False) -> tuple[str, dict[s
         counts["email"] += 1
         return email(f, m[1], m[2], back)
 
-    def of_number(m: re.Match) -> str:
-        kind = m.lastgroup if m.lastgroup != "sep" else "dmy"
-        made = MAKERS[kind](f, m[kind], back)
-        if made is None:
-            return m[0]
-        counts["date" if kind in ("iso", "dmy") else kind] += 1
-        return made
-
     def numbers(part: str) -> str:
-        return NUMBERS.sub(of_number, part) if DIGIT.search(part) else part
+        if not DIGIT.search(part):
+            return part
+        out, at, pos, odd_from = [], 0, 0, 0
+        while m := NUMBERS.search(part, pos):
+            kind = m.lastgroup if m.lastgroup != "sep" else "dmy"
+            found, start, made = m[kind], m.start(kind), None
+            ends = [len(found)]
+            if kind == "card":
+                ends = card_ends(found, start >= odd_from)
+                if len(ends) and usual_card_later(found, part, start):
+                    ends = ends[:1] if USUAL.match(found) else []
+            elif kind == "iban":
+                ends, others = iban_ends(found)
+                if not country_iban_later(found, part, start):
+                    ends = ends + others
+            for end in ends:
+                made = MAKERS[kind](f, found[:end], back)
+                if made is not None:
+                    break
+            if made is None:
+                # another value may start inside what was matched
+                pos = start + 1
+                odd_from = max(odd_from, m.end()) if kind == "card" else odd_from
+                continue
+            counts["date" if kind in ("iso", "dmy") else kind] += 1
+            out += [part[at:start], made]
+            at = pos = start + end
+        return "".join([*out, part[at:]])
 
     if "@" not in text:
         return numbers(text), counts
@@ -223,7 +309,9 @@ def pseudonymise_table(docs: DataFrame, key: bytes, text: str = "text", back: bo
     A null text stays null with counts of 0, an empty one stays empty; repeated
     rows get equal results; an empty table gives an empty result. Columns named
     like a count are replaced, others are kept. With ``back`` the pseudonyms of
-    the same key are turned back (dates with one-digit days come back with two).
+    the same key are turned back (dates with one-digit days come back with two; a
+    card or account number whose pseudonym validates together with a number beside
+    it may be read otherwise and not come back).
     """
     added = [f"n_{k}" for k in KINDS]
     docs = docs.drop(*added)
