@@ -4,7 +4,7 @@ Each measure is put on a logarithmic grid of fixed relative width; the counts
 by (language, source, measure, cell) form a quantile sketch. Two sketches merge
 by adding counts, so sketches of a source roll up to its language and to the
 corpus, whatever the partitions and in any order, and a rerun gives the same
-thresholds. A group of few documents takes the sketch one level up.
+thresholds. A group of few values takes the sketch one level up.
 """
 
 from __future__ import annotations
@@ -27,14 +27,18 @@ BASE_COLUMNS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_w
 
 
 def measures() -> dict[str, tuple[Column, str, float]]:
-    """Name: ratio, the bad side, and the mildest value that may be rejected."""
+    """Name: ratio, the bad side, and the limit where no sketch is large enough.
+
+    Word lengths don't count symbols, which have a rule of their own.
+    """
     words = F.greatest(F.col("n_words"), F.lit(1))
+    letters = F.col("word_chars") - F.col("n_symbols")
     return {
         "symbol_ratio": (F.col("n_symbols") / F.greatest(F.col("word_chars"), F.lit(1)), "high", 0.10),
         "repeat_ratio": (F.col("n_repeat_words") / words, "high", 0.10),
-        "dup_line_ratio": (F.col("n_dup_lines") / words, "high", 0.10),
-        "long_words": (F.col("word_chars") / words, "high", 14.0),
-        "short_words": (F.col("word_chars") / words, "low", 2.5),
+        "dup_line_ratio": (F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)), "high", 0.10),
+        "long_words": (letters / words, "high", 14.0),
+        "short_words": (letters / words, "low", 2.5),
     }
 
 
@@ -57,6 +61,7 @@ def text_counts(buf: np.ndarray, offs: np.ndarray) -> dict[str, np.ndarray]:
     order, first, _ = groups(keys)
     repeated = np.ones(len(keys), np.int64)
     repeated[order[first]] = 0
+    out["n_lines"] = np.bincount(text, minlength=len(offs) - 1).astype(np.int64)
     out["n_dup_lines"] = np.bincount(text, repeated, len(offs) - 1).astype(np.int64)
     # words inside five-word windows that occur twice or more
     at, codes = w.windows(5)
@@ -73,8 +78,9 @@ def text_counts(buf: np.ndarray, offs: np.ndarray) -> dict[str, np.ndarray]:
 
 
 def with_counts(docs: DataFrame, text: str = "text", keep_text: bool = False) -> DataFrame:
-    """``docs`` with the five base counts of each whole text (null: no words)."""
-    return per_row(docs, text, dict.fromkeys(BASE_COLUMNS, T.LongType()), text_counts, keep_text)
+    """``docs`` with the five base counts of each whole text (null: no words)
+    and ``n_lines``, its lines that hold a word."""
+    return per_row(docs, text, dict.fromkeys([*BASE_COLUMNS, "n_lines"], T.LongType()), text_counts, keep_text)
 
 
 def base_failed() -> Column:
@@ -96,9 +102,12 @@ def sketches(counted: DataFrame, keys: list[str], width: float = 0.02) -> DataFr
 
 
 def quantiles(sketch: DataFrame, keys: list[str], width: float = 0.02) -> DataFrame:
-    """Quartiles of each sketch: upper ends of the cells that reach them."""
+    """Quartiles of each sketch's values above 0: upper ends of the cells that
+    reach them. Most texts have no symbol, repeat or doubled line, so quartiles
+    of all values would coincide at 0. ``n_docs`` counts the values above 0.
+    """
     by = [*keys, "measure"]
-    sketch = sketch.groupBy(*by, "cell").agg(F.sum("n").alias("n"))
+    sketch = sketch.filter(F.col("cell") > cell(F.lit(0.0), width)).groupBy(*by, "cell").agg(F.sum("n").alias("n"))
     w = Window.partitionBy(*by)
     run = sketch.withColumn("run", F.sum("n").over(w.orderBy("cell"))).withColumn("all", F.sum("n").over(w))
     upper = F.exp((F.col("cell") + 1) * F.lit(float(np.log1p(width))))
@@ -107,12 +116,13 @@ def quantiles(sketch: DataFrame, keys: list[str], width: float = 0.02) -> DataFr
 
 def thresholds(counted: DataFrame, lang: str = "lang", source: str = "source", min_docs: int = 50, spread: float = 3.0) -> DataFrame:
     """Per language and source: for each measure the value beyond which a
-    document is rejected, and the level whose sketch gave it.
+    document is rejected, and ``level_<measure>``, whose sketch gave it.
 
-    The threshold lies ``spread`` widths of the middle half beyond it, and
-    never inside the mildest value of the measure. A (language, source) of
-    fewer than ``min_docs`` documents takes its language's sketch, and a
-    language of fewer the whole corpus's.
+    The threshold lies ``spread`` widths of the middle half of the values above
+    0 beyond it. A (language, source) with fewer than ``min_docs`` such values,
+    or whose quartiles coincide, takes its language's sketch, a language of this
+    kind the whole corpus's, and a corpus of this kind the measure's fixed limit
+    (level ``fixed``).
     """
     fine = sketches(counted, [lang, source])
     levels = {"_by_source": [lang, source], "_by_language": [lang], "_corpus": []}
@@ -125,16 +135,17 @@ def thresholds(counted: DataFrame, lang: str = "lang", source: str = "source", m
         for c in keys:
             on &= F.col(c).eqNullSafe(F.col(f"_{c}"))
         each = each.join(right, on, "left").drop("_measure", *[f"_{c}" for c in keys])
-    enough = [F.when(F.col(f"{k}.n_docs") >= min_docs, F.col(k)) for k in ("_by_source", "_by_language")]
-    each = each.withColumn("of", F.coalesce(*enough, F.col("_corpus")))
+    enough = [F.when((F.col(f"{k}.n_docs") >= min_docs) & (F.col(f"{k}.q3") > F.col(f"{k}.q1")), F.col(k)) for k in levels]
+    each = each.withColumn("of", F.coalesce(*enough))
     width = F.col("of.q3") - F.col("of.q1")
     limit = None
-    for m, (_, side, mild) in measures().items():
-        value = F.greatest(F.col("of.q3") + spread * width, F.lit(mild)) if side == "high" else F.least(F.col("of.q1") - spread * width, F.lit(mild))
+    for m, (_, side, fixed) in measures().items():
+        value = F.coalesce(F.col("of.q3") + spread * width if side == "high" else F.col("of.q1") - spread * width, F.lit(fixed))
         limit = F.when(F.col("measure") == m, value) if limit is None else limit.when(F.col("measure") == m, value)
+    level = F.coalesce("of.level", F.lit("fixed"))
     return each.groupBy(lang, source).agg(
         *[F.max(F.when(F.col("measure") == m, limit)).alias(f"limit_{m}") for m in measures()],
-        F.max("of.level").alias("level"),
+        *[F.max(F.when(F.col("measure") == m, level)).alias(f"level_{m}") for m in measures()],
     )
 
 

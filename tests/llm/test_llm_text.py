@@ -87,6 +87,22 @@ def test_quality_thresholds_adapt_and_spare_clean_texts(spark):
     assert empty.count() == 0 and "kept" in empty.columns
 
 
+def test_quality_limits_follow_the_values(spark):
+    rng = random.Random(4)
+    # a few symbols in every fifth text; lines in each, one doubled in every fifth
+    text = lambda i: "\n".join([clean(rng, 5) for _ in range(20 + i % 7)]) + (" #" * (1 + i % 3) + "\nsaid twice\nsaid twice" if i % 5 == 0 else "")
+    rows = [(i, text(i), "en", "plain") for i in range(600)]
+    rows += [(1000, text(0) + " #" * 12, "en", "plain"), (1001, text(1) + "\nagain\n" * 9, "en", "plain"), (1002, " ".join(clean(rng).replace(" ", "")[:9] for _ in range(60)), "en", "plain")]
+    got = {r.doc_id: r for r in quality.quality_filter(docs_of(spark, rows)).collect()}
+    # none of the three is beyond a fixed 0.10 of its characters or words, or 14 letters a word
+    assert "symbol_ratio" in got[1000].failed_rules and got[1000].n_symbols < 0.10 * got[1000].word_chars
+    assert "dup_line_ratio" in got[1001].failed_rules and got[1001].n_dup_lines < 0.10 * got[1001].n_words
+    assert got[1002].failed_rules == ["long_words"]
+    assert sum(got[i].kept for i in range(600)) > 590
+    few = quality.quality_filter(docs_of(spark, rows[:20])).collect()
+    assert {(r.limit_symbol_ratio, r.level_symbol_ratio) for r in few} == {(0.10, "fixed")}
+
+
 def test_quality_sketches_merge_exactly(spark):
     rng = random.Random(3)
     df = quality.with_counts(docs_of(spark, [(i, clean(rng, 40), "en", f"s{i % 3}") for i in range(90)]))
