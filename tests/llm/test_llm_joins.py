@@ -346,6 +346,16 @@ def test_template_lines_match_brute_force(spark):
     assert lines.drop_recurring_lines(docs_of(spark, [])).count() == 0
 
 
+def test_long_lines_go_from_their_second_document_on(spark):
+    rng = random.Random(9)
+    words = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    long, short, numbers = words(60), words(8), " ".join(str(k) for k in range(30))
+    rows = [(i, "\n".join([words(30), long, short, numbers.replace("1", str(i))])) for i in (1, 2)]
+    left = {r.doc_id: r.text.split("\n") for r in lines.drop_recurring_lines(docs_of(spark, rows), long_words=20).collect()}
+    first, second = (t.split("\n") for _, t in rows)
+    assert left == {1: first, 2: [second[0], second[2], second[3]]}
+
+
 def test_templates_spell_out_variable_fields(spark):
     rows = [(i, f"status of the job number {i} is {w} and all went well today") for i, w in enumerate(["good", "bad", "good", "fine"])]
     _, spelt = lines.templates(lines.line_rows(docs_of(spark, rows), "doc_id", "text"), 75, 5)
