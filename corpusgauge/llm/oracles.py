@@ -64,4 +64,38 @@ r AS (SELECT d.doc_id, size, source_size, target, coalesce(floor(target / nullif
 SELECT doc_id, size, source_size, target, CAST(size * (whole + CASE WHEN target - whole * source_size > 0 AND before + size / 2.0 <= target - whole * source_size THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM r
 """
 
-ORACLES: dict[str, str] = {"op2_reply_trees": OP2, "op5_decontamination": OP5, "op6_template_lines": OP6, "op9_source_mixing": OP9}
+def field(name: str) -> str:
+    return f"coalesce(strlen(CAST({name} AS VARCHAR)) || ':' || CAST({name} AS VARCHAR), '-')"
+
+
+#: Parity of the CRC-32 of a number's decimals, bit by bit.
+EVEN_CRC = """xor(list_reduce([4294967295] || [CAST(ascii(c) AS BIGINT) FOR c IN string_split(CAST(doc_id AS VARCHAR), '')],
+    lambda a, b: list_reduce([xor(a, b)] || range(8), lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295) % 2 = 0"""
+
+OP13 = f"""
+WITH RECURSIVE d AS (SELECT *, sha256({field("doc_id")} || {field("source")} || {field("lang")} || {field("n_chars")} || {field("text")}) AS leaf,
+    CASE WHEN {EVEN_CRC} THEN replace(text, chr(10), '') ELSE text END AS copy FROM documents),
+p AS (SELECT *, sha256({field("doc_id")} || {field("source")} || {field("lang")} || {field("n_chars")} || {field("copy")}) AS claim,
+    row_number() OVER (PARTITION BY source ORDER BY doc_id, leaf) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n, row_number() OVER () AS doc FROM d),
+s AS (SELECT source, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS tree FROM (SELECT DISTINCT source FROM p)),
+l AS (SELECT doc, doc_id, tree, pos, n, leaf, claim FROM p JOIN s ON s.source IS NOT DISTINCT FROM p.source),
+nodes AS (SELECT tree, 0 AS level, pos AS idx, n AS width, leaf AS h FROM l
+  UNION ALL SELECT tree, level + 1, idx // 3, (max(width) + 2) // 3, sha256(string_agg(h, '' ORDER BY idx)) FROM nodes WHERE width > 1 GROUP BY tree, level, idx // 3),
+sub AS (SELECT tree, level AS height, h FROM nodes WHERE width = 1),
+top AS (SELECT 0 AS level, tree AS idx, count(*) OVER () AS width, h FROM sub
+  UNION ALL SELECT level + 1, idx // 3, (max(width) + 2) // 3, sha256(string_agg(h, '' ORDER BY idx)) FROM top WHERE width > 1 GROUP BY level, idx // 3),
+steps AS (SELECT doc, level AS step, idx, h, idx < pos // CAST(pow(3, level) AS BIGINT) AS before
+  FROM l JOIN nodes ON nodes.tree = l.tree AND nodes.width > 1 AND idx // 3 = pos // CAST(pow(3, level + 1) AS BIGINT)
+  UNION ALL SELECT doc, height + level, idx, top.h, idx < l.tree // CAST(pow(3, level) AS BIGINT)
+  FROM l JOIN sub ON sub.tree = l.tree JOIN top ON top.width > 1 AND idx // 3 = l.tree // CAST(pow(3, level + 1) AS BIGINT)),
+sides AS (SELECT doc, step, string_agg(h, '' ORDER BY idx) FILTER (before) AS a, string_agg(h, '' ORDER BY idx) FILTER (NOT before AND NOT own) AS b
+  FROM (SELECT steps.*, idx = CASE WHEN step < height THEN pos // CAST(pow(3, step) AS BIGINT) ELSE l.tree // CAST(pow(3, step - height) AS BIGINT) END AS own FROM steps JOIN l USING (doc) JOIN sub ON sub.tree = l.tree) GROUP BY doc, step),
+fold AS (SELECT doc, 0 AS step, claim AS h FROM l
+  UNION ALL SELECT fold.doc, fold.step + 1, sha256(coalesce(a, '') || h || coalesce(b, '')) FROM fold JOIN sides ON sides.doc = fold.doc AND sides.step = fold.step),
+folded AS (SELECT doc, arg_max(h, step) AS folded_root FROM fold GROUP BY doc),
+proofs AS (SELECT doc, sha256(string_agg(coalesce(a, '') || coalesce(b, ''), '' ORDER BY step)) AS proof FROM sides GROUP BY doc)
+SELECT doc_id, leaf, sub.h AS subroot, top.h AS root, coalesce(proof, sha256('')) AS proof_sha256, folded_root, folded_root = top.h AS verified
+FROM l JOIN sub ON sub.tree = l.tree JOIN top ON top.width = 1 JOIN folded USING (doc) LEFT JOIN proofs USING (doc)
+"""
+
+ORACLES: dict[str, str] = {"op2_reply_trees": OP2, "op5_decontamination": OP5, "op6_template_lines": OP6, "op9_source_mixing": OP9, "op13_octopus_manifest": OP13}
