@@ -98,4 +98,19 @@ SELECT doc_id, leaf, sub.h AS subroot, top.h AS root, coalesce(proof, sha256('')
 FROM l JOIN sub ON sub.tree = l.tree JOIN top ON top.width = 1 JOIN folded USING (doc) LEFT JOIN proofs USING (doc)
 """
 
-ORACLES: dict[str, str] = {"op2_reply_trees": OP2, "op5_decontamination": OP5, "op6_template_lines": OP6, "op9_source_mixing": OP9, "op13_octopus_manifest": OP13}
+OP11 = """
+WITH p AS (SELECT lang, regexp_extract_all(piece, '[^ \\t]+') AS w FROM (SELECT coalesce(lang, 'und') AS lang,
+    unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents)),
+n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM p GROUP BY lang),
+g AS (SELECT lang, m, w[k:k + m - 1] AS ws FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS k FROM p JOIN (VALUES (1), (2), (3)) t(m) ON len(w) >= m)),
+f AS (SELECT lang, m, ws, count(*) AS f FROM g GROUP BY lang, m, ws HAVING count(*) >= 10),
+cuts AS (SELECT c.lang, c.m, c.ws, c.f AS a, k, a.f AS l, b.f AS r, CAST(1000000::HUGEINT * c.f * c.f // (a.f::HUGEINT * b.f) AS BIGINT) AS score
+  FROM (SELECT *, unnest(range(1, m)) AS k FROM f WHERE m > 1) c JOIN f a ON a.lang = c.lang AND a.ws = c.ws[1:k] JOIN f b ON b.lang = c.lang AND b.ws = c.ws[k + 1:]),
+best AS (SELECT lang, m, ws, a, arg_min({'l': l, 'r': r, 'score': score}, (score, k)) AS s FROM cuts GROUP BY ALL),
+inside AS (SELECT lang, ws, max(a) AS a FROM (SELECT lang, ws[1:2] AS ws, a FROM best WHERE m = 3 UNION ALL SELECT lang, ws[2:3], a FROM best WHERE m = 3) GROUP BY lang, ws),
+kept AS (SELECT best.*, array_to_string(best.ws, ' ') AS phrase FROM best LEFT JOIN inside ON inside.lang = best.lang AND inside.ws = best.ws WHERE inside.a IS NULL OR 100 * inside.a < 50 * best.a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY s.score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT ranked.lang, rank, phrase, a, s.l AS l, s.r AS r, n, s.score AS score FROM ranked JOIN n ON n.lang = ranked.lang WHERE rank <= 2000
+"""
+
+ORACLES: dict[str, str] = {"op2_reply_trees": OP2, "op5_decontamination": OP5, "op6_template_lines": OP6, "op9_source_mixing": OP9, "op11_phrase_quicksort": OP11, "op13_octopus_manifest": OP13}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusgauge.llm import chat, decontaminate, hosts, jaccard, lines, merkle, mixing, pii, quality, repeats
+from corpusgauge.llm import chat, collocations, decontaminate, hosts, jaccard, lines, merkle, mixing, pii, quality, repeats, secret_scan
 from corpusgauge.llm import toxicity as tox
 from corpusgauge.llm.oracles import ORACLES
 from corpusgauge.session import read_table
@@ -79,6 +79,16 @@ def op10_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", *[f"n_{k}" for k in pii.KINDS], "text")
 
 
+def op11_phrase_quicksort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read_table(spark, sf_dir, "documents"))
+
+
+def op12_secret_network(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secret_scan.find_secrets(docs)
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans", "n_model")
+
+
 def op13_octopus_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     cut = F.when(merkle.tampered(F.col("doc_id")), F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
@@ -86,7 +96,7 @@ def op13_octopus_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return proved.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
 
 
-QUERIES = {f.__name__: f for f in (op1_host_trust, op2_reply_trees, op3_suffix_dedup, op4_parity_jaccard, op5_decontamination, op6_template_lines, op7_factorization_toxicity, op8_adaptive_quality, op9_source_mixing, op10_feistel_pseudonyms, op13_octopus_manifest)}
+QUERIES = {f.__name__: f for f in (op1_host_trust, op2_reply_trees, op3_suffix_dedup, op4_parity_jaccard, op5_decontamination, op6_template_lines, op7_factorization_toxicity, op8_adaptive_quality, op9_source_mixing, op10_feistel_pseudonyms, op11_phrase_quicksort, op12_secret_network, op13_octopus_manifest)}
 
 
 def queries() -> dict:
