@@ -23,10 +23,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_template_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines whose template recurs go, but for its first, lines of 20 words or
-    more from their second document on; so does a document
-    that had words and has none left. ``n_chars`` follows the text."""
-    left = lines.drop_recurring_lines(docs.select(*COLUMNS), long_words=20).filter(~F.col("emptied"))
+    """Lines whose template recurs in five documents go, but for its first; so
+    does a document that had words and has none left. ``n_chars`` follows the
+    text. Passages that few documents share stay: near copies are the next
+    stage's, which needs them whole."""
+    left = lines.drop_recurring_lines(docs.select(*COLUMNS)).filter(~F.col("emptied"))
     return left.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
