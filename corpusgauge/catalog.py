@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusgauge.queries import analytics, events, records, relational, scores
+from corpusgauge.queries import analytics, events, records, relational, scores, streams
 
-MODULES = (scores, analytics, relational, records, events)
+MODULES = (scores, analytics, relational, records, events, streams)
 
 
 def queries() -> dict:
