@@ -236,7 +236,7 @@ def cut_score(a: str, left: str, right: str) -> Column:
     return F.expr(f"(CAST(1000000 AS DECIMAL(7, 0)) * {whole.format(a)} * {whole.format(a)}) div ({whole.format(left)} * {whole.format(right)})")
 
 
-def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = 10, covered: int = 50, top: int = 2000, chunk_words: int = 1 << 20, shard_words: int = 1 << 20) -> DataFrame:
+def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = 10, covered: int = 50, top: int = 2000, chunk_words: int = 1 << 19, shard_words: int = 1 << 18) -> DataFrame:
     """``lang, rank, phrase, a, l, r, n, score`` of each language's first
     ``top`` phrases of two and three words that occur ``least`` times.
 
