@@ -6,13 +6,17 @@ expressions work on whole texts; a null counts as an empty text unless said.
 
 from __future__ import annotations
 
+import ast
 import re
+import warnings
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from corpusgauge.functions import lexicons as lex
+from corpusgauge.functions.json_check import holds_json
 
 TOKEN = "[a-z0-9']+"
 BLANKS = r"(?U)\s+"
@@ -50,10 +54,23 @@ def stop_words(profile: int) -> tuple[str, ...]:
     return lex.STOPWORDS if profile == 1 else lex.STOPWORDS + lex.MORE_STOPWORDS
 
 
+def content_pattern(profile: int) -> str:
+    """One pattern for tokens but stop words and whole numbers.
+
+    At the start of a token it looks ahead for a whole stop word, by the first
+    letter, or a whole number, so a text is read once.
+    """
+    inside = "[a-z0-9']"
+    by_letter: dict[str, list[str]] = {}
+    for w in stop_words(profile):
+        by_letter.setdefault(w[0], []).append(re.escape(w[1:]))
+    stop = "|".join(f"{re.escape(c)}(?:{'|'.join(rest)})" for c, rest in by_letter.items())
+    return f"(?<!{inside})(?!(?:{stop}|[0-9]++)(?!{inside})){inside}++"
+
+
 def content_tokens(text: Column, profile: int = 1) -> Column:
     """Tokens but stop words and whole numbers."""
-    stop = F.array(*[F.lit(w) for w in stop_words(profile)])
-    return F.filter(tokens(text), lambda t: ~F.array_contains(stop, t) & ~t.rlike("^[0-9]+$"))
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(content_pattern(profile)), 0)
 
 
 def token_set(text: Column, profile: int = 2) -> Column:
@@ -121,17 +138,6 @@ def length_limit(instruction: Column) -> Column:
     return F.coalesce(*found).try_cast("int")
 
 
-def is_json(text: Column) -> Column:
-    """Whether the text, or the first part that looks like JSON, parses."""
-    plain = F.trim(F.coalesce(text, F.lit("")))
-    parts = [(rf"```json\s*({ANY}*?)\s*```", 1), (rf"```\s*({ANY}*?)\s*```", 1), (rf"(\{{{ANY}*\}})", 1), (rf"(\[{ANY}*\])", 1)]
-    parses = lambda x: F.try_parse_json(x).isNotNull()
-    inner = F.lit(False)
-    for pattern, group in reversed(parts):
-        inner = F.when(plain.rlike(pattern), F.coalesce(parses(F.regexp_extract(plain, pattern, group)), F.lit(False))).otherwise(inner)
-    return F.coalesce(parses(plain), F.lit(False)) | inner
-
-
 def brackets_match(text: Column) -> Column:
     """Whether round, square and curly brackets close in order."""
     marks = F.split(F.regexp_replace(F.coalesce(text, F.lit("")), r"[^()\[\]{}]", ""), "")
@@ -147,23 +153,46 @@ def brackets_match(text: Column) -> Column:
 
 def code_part(text: Column) -> Column:
     """What stands in the first fence, else the whole text."""
-    named, plain = rf"(?i)```python\s*({ANY}*?)\s*```", rf"```\s*({ANY}*?)\s*```"
+    named, plain = rf"(?iU)```python\s*({ANY}*?)\s*```", rf"(?U)```\s*({ANY}*?)\s*```"
     return F.when(text.rlike(named), F.regexp_extract(text, named, 1)).when(text.rlike(plain), F.regexp_extract(text, plain, 1)).otherwise(text)
 
 
-def format_flags(text: Column) -> dict[str, Column]:
-    """Which formats a text shows, and whether JSON and code are well formed.
+def python_parses(code: pd.Series) -> pd.Series:
+    """Whether each text is Python source; null and unreadable ones aren't."""
 
-    Code counts as well formed if its brackets match.
-    """
+    def parses(source: str | None) -> bool:
+        try:
+            with warnings.catch_warnings():
+                warnings.simplefilter("ignore")
+                ast.parse(source)
+        except (SyntaxError, ValueError, TypeError, RecursionError, MemoryError):
+            return False
+        return True
+
+    return code.map(parses).astype(bool)
+
+
+def code_valid(text: Column, parse: bool = True) -> Column:
+    """Whether the code that a text shows is well formed: parsed as Python, or
+    with ``parse`` off, and for other languages, its brackets match."""
+    code = code_part(text)
+    return F.pandas_udf(python_parses, "boolean")(code) if parse else brackets_match(code)
+
+
+FORMATS = ("has_json", "json_valid", "has_code", "code_valid", "has_list", "has_headers", "has_table")
+
+
+def format_flags(text: Column, parse_code: bool = False) -> dict[str, Column]:
+    """Which formats a text shows, and whether JSON and code are well formed."""
     x = F.coalesce(text, F.lit(""))
     has_json = x.contains("{") | x.contains("[")
     has_code = x.contains("```") | x.contains("def ") | x.contains("function ")
     return {
         "has_json": has_json,
-        "json_valid": has_json & is_json(x),
+        "json_valid": has_json & holds_json(x),
         "has_code": has_code,
-        "code_valid": has_code & brackets_match(code_part(x)),
+        # texts without a mark of code aren't sent to be parsed
+        "code_valid": has_code & code_valid(F.when(has_code, x).otherwise("("), parse_code),
         "has_list": x.rlike(r"(?mdU)^\s*[\-*•]\s+") | x.rlike(r"(?mdU)^\s*\d+[.)]\s+"),
         "has_headers": x.rlike(r"(?mdU)^#+\s+"),
         "has_table": x.rlike(r"\|.*\|"),

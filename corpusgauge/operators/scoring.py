@@ -132,28 +132,56 @@ def _any_kind(task: Column, cases: list[tuple[str, Column]], other: Column) -> C
     return out
 
 
-def score_v2(df: DataFrame, instruction: str = "input", student: str = "student_output", teacher: str | None = "teacher_output", context: str = "context", label: str = "task_label", suffix: str = "", beta: float = 0.6, threshold: float = 0.5) -> DataFrame:
+SHARED = ("_i", "_t", "_c", "_te", "_twords", "_limit")
+OWN = ("_s", "_se", "_words", "_refused", "_lang")
+
+
+def texts_of(instruction: str, student: str, teacher: str | None, context: str) -> tuple[Column, Column, Column, Column]:
+    i, s, c = (F.coalesce(F.col(x), F.lit("")) for x in (instruction, student, context))
+    return i, s, F.coalesce(F.col(teacher), F.lit("")) if teacher else F.lit(""), c
+
+
+def with_shared(df: DataFrame, i: Column, t: Column, c: Column) -> DataFrame:
+    """What all answers to an instruction have in common, once per row."""
+    df = df.withColumns({"_i": tx.content_tokens(i, 2), "_t": tx.content_tokens(t, 2), "_c": tx.content_tokens(c, 2), "_twords": tx.word_count(t), "_limit": tx.length_limit(i)})
+    return df.withColumn("_te", tx.elements(F.col("_t")))
+
+
+def with_own(df: DataFrame, s: Column, suffix: str, parse_code: bool) -> DataFrame:
+    """Tokens and flags of one answer, named with ``suffix``."""
+    parts = {"_s": tx.content_tokens(s, 2), "_words": tx.word_count(s), "_refused": tx.is_refusal(s), "_lang": tx.script_language(s)}
+    parts |= {f"_{k}": v for k, v in tx.format_flags(s, parse_code).items()}
+    df = df.withColumns({k + suffix: v for k, v in parts.items()})
+    return df.withColumn("_se" + suffix, tx.elements(F.col("_s" + suffix)))
+
+
+def score_v2(df: DataFrame, instruction: str = "input", student: str = "student_output", teacher: str | None = "teacher_output", context: str = "context", label: str = "task_label", suffix: str = "", beta: float = 0.6, threshold: float = 0.5, parse_code: bool = False) -> DataFrame:
     """``df`` with the scores of profile 2 (H10 to H20, H27), named with ``suffix``.
 
     Missing texts count as empty. ``success`` is the threshold rule; ``details``
     holds what the scores were made of; ``overall_60_40`` is the weighted form.
+    With ``parse_code`` Python code is parsed in Arrow batches, else its
+    brackets are matched.
     """
-    i, s, c = (F.coalesce(F.col(x), F.lit("")) for x in (instruction, student, context))
-    t = F.coalesce(F.col(teacher), F.lit("")) if teacher else F.lit("")
-    task = F.coalesce(F.col(label), F.lit(lex.DEFAULT_TASK))
-    flag = tx.format_flags(s)
-    parts = {"_i": tx.content_tokens(i, 2), "_t": tx.content_tokens(t, 2), "_c": tx.content_tokens(c, 2), "_s": tx.content_tokens(s, 2), "_words": tx.word_count(s), "_twords": tx.word_count(t), "_limit": tx.length_limit(i), "_refused": tx.is_refusal(s), "_lang": tx.script_language(s)}
-    df = df.withColumns(parts).withColumns({f"_{k}": v for k, v in flag.items()})
-    df = df.withColumn("_o", overlaps([F.col("_i"), F.col("_t"), F.col("_c"), F.col("_s")], [(0, 3), (1, 3), (2, 3)]))
-    df = df.withColumns({"_te": tx.elements(F.col("_t")), "_se": tx.elements(F.col("_s"))})
-    o, words = F.col("_o"), F.col("_words")
-    col = F.col
-
-    code = F.when(col("_has_code"), F.when(col("_code_valid"), 1.0).otherwise(0.5)).when(s.rlike("def |class |function |=>|return "), F.when(tx.brackets_match(s), 1.0).otherwise(0.3)).otherwise(0.2)
+    i, s, t, c = texts_of(instruction, student, teacher, context)
+    df = with_own(with_shared(df, i, t, c), s, suffix, parse_code)
+    df = df.withColumn("_o", overlaps([F.col("_i"), F.col("_t"), F.col("_c"), F.col("_s" + suffix)], [(0, 3), (1, 3), (2, 3)]))
+    df = judged(df, i, s, t, c, F.coalesce(F.col(label), F.lit(lex.DEFAULT_TASK)), suffix, 3, beta, threshold, parse_code)
+    return df.drop("_o", *SHARED)
+
+
+def judged(df: DataFrame, i: Column, s: Column, t: Column, c: Column, task: Column, suffix: str, at: int, beta: float, threshold: float, parse_code: bool) -> DataFrame:
+    """The scores of an answer whose tokens are text ``at`` of ``_o``."""
+    o = F.col("_o")
+    own = {x + suffix for x in OWN} | {f"_{k}{suffix}" for k in tx.FORMATS}
+    col = lambda name: F.col(name + suffix if name + suffix in own else name)
+    words = col("_words")
+
+    code = F.when(col("_has_code"), F.when(col("_code_valid"), 1.0).otherwise(0.5)).when(s.rlike("def |class |function |=>|return "), F.when(tx.code_valid(s, parse_code), 1.0).otherwise(0.3)).otherwise(0.2)
     shape = F.lit(0.5) + F.when(col("_has_list"), 0.15).otherwise(0.0) + F.when(col("_has_headers"), 0.15).otherwise(0.0) + F.when(col("_json_valid"), 0.2).otherwise(0.0)
     structured = F.when(task == "technical_code", code).otherwise(F.least(F.lit(1.0), shape))
 
-    cos_i, cos_t, cos_c = (cosine(o, k, 3) for k in range(3))
+    cos_i, cos_t, cos_c = (cosine(o, k, at) for k in range(3))
     bonus = _any_kind(task, [
         ("technical_code", F.when(s.contains("```") | s.contains("def ") | s.contains("function"), 0.1).otherwise(0.0)),
         ("math_logic", F.when(s.rlike(r"(?U)\d"), 0.05).otherwise(0.0) + F.when(s.rlike(r"[=+\-*/]"), 0.05).otherwise(0.0)),
@@ -186,11 +214,11 @@ def score_v2(df: DataFrame, instruction: str = "input", student: str = "student_
     ))
     rubric = length_score + F.when(lacking.isNotNull(), 1).otherwise(2) + F.when(col("_refused"), 0).otherwise(2) + F.when(wrong, 0).otherwise(2)
 
-    covered = F.size(F.array_intersect("_te", "_se"))
-    coverage = F.when(t == "", 0.0).otherwise(ratio(covered, F.size("_te"), 1.0))
-    precision = ratio(o["p23"]["s"], o["n3"], 1.0)
+    covered = F.size(F.array_intersect(col("_te"), col("_se")))
+    coverage = F.when(t == "", 0.0).otherwise(ratio(covered, F.size(col("_te")), 1.0))
+    precision = ratio(o[f"p2{at}"]["s"], o[f"n{at}"], 1.0)
     hallucination = F.when(c == "", 0.0).otherwise(1 - precision)
-    grounding = F.when(c == "", 1.0).otherwise(ratio(o["p23"]["s"], o["n2"], 1.0))
+    grounding = F.when(c == "", 1.0).otherwise(ratio(o[f"p2{at}"]["s"], o["n2"], 1.0))
     rate = F.try_divide(words, col("_twords"))
     brevity = F.when(t == "", 1.0).when(col("_twords") == 0, F.when(words < 50, 1.0).otherwise(0.5))
     for lo, hi, value in ((0.8, 1.2, 1.0), (0.5, 2.0, 0.8), (0.3, 3.0, 0.6), (0.2, 5.0, 0.4)):
@@ -206,11 +234,11 @@ def score_v2(df: DataFrame, instruction: str = "input", student: str = "student_
     }
     details = F.struct(
         violations.alias("violations"), F.when(t != "", cos_t).otherwise(0.0).alias("teacher_similarity"), F.when(c != "", cos_c).otherwise(0.0).alias("context_similarity"),
-        F.when(t != "", covered).otherwise(0).alias("elements_covered"), F.when(t != "", F.size("_te")).otherwise(0).alias("elements_total"),
+        F.when(t != "", covered).otherwise(0).alias("elements_covered"), F.when(t != "", F.size(col("_te"))).otherwise(0).alias("elements_total"),
         F.when(t == "", 1.0).otherwise(F.coalesce(rate, F.lit(0.0))).alias("length_ratio"),
-        F.slice(F.array_sort(F.array_except("_te", "_se")), 1, 20).alias("missing_elements"),
-        F.slice(F.array_sort(F.array_except(F.array_distinct("_s"), "_c")), 1, 15).alias("ungrounded_terms"),
-        F.slice(F.array_sort(F.array_except(F.array_distinct("_c"), "_s")), 1, 15).alias("unused_context_terms"),
+        F.slice(F.array_sort(F.array_except(col("_te"), col("_se"))), 1, 20).alias("missing_elements"),
+        F.slice(F.array_sort(F.array_except(F.array_distinct(col("_s")), col("_c"))), 1, 15).alias("ungrounded_terms"),
+        F.slice(F.array_sort(F.array_except(F.array_distinct(col("_c")), col("_s"))), 1, 15).alias("unused_context_terms"),
     )
     df = df.withColumns({k + suffix: v for k, v in named.items()} | {"details" + suffix: details})
     g = lambda name: F.col(name + suffix)
@@ -218,8 +246,7 @@ def score_v2(df: DataFrame, instruction: str = "input", student: str = "student_
     core = (g("structured_correctness") + g("task_success") + g("instruction_following")) / 3
     secondary = 0.375 * g("coverage") + 0.25 * g("faithfulness") + 0.25 * (1 - g("hallucination")) + 0.125 * g("context_grounding")
     df = df.withColumns({"overall_score" + suffix: positive * (1 - g("hallucination")), "overall_60_40" + suffix: 0.6 * core + 0.4 * secondary})
-    gone = [*parts, *[f"_{k}" for k in flag], "_o", "_te", "_se"]
-    return df.drop(*gone)
+    return df.drop(*own)
 
 
 def error_category(teacher_ok: Column, student_ok: Column) -> Column:
@@ -234,12 +261,23 @@ def compare_pair(df: DataFrame, student: str = "student_output", teacher: str =
     return both.withColumns(less | {"error_category": error_category(F.col("success_teacher"), F.col("success_student")), "student_wins": F.col("overall_score_student") > F.col("overall_score_teacher")})
 
 
-def compare_models(df: DataFrame, a: str, b: str, reference: str, **names: str) -> DataFrame:
-    """Two models against one reference: scores, winner and difference (H22)."""
-    both = score_v2(score_v2(df, student=a, teacher=reference, suffix="_a", **names), student=b, teacher=reference, suffix="_b", **names)
+def compare_models(df: DataFrame, a: str, b: str, reference: str, instruction: str = "input", context: str = "context", label: str = "task_label", beta: float = 0.6, threshold: float = 0.5, parse_code: bool = False) -> DataFrame:
+    """Two models against one reference: scores, winner and difference (H22).
+
+    The texts that both share are tokenised once, and one pass over the tokens
+    of all five texts gives the counts of both models.
+    """
+    i, sa, t, c = texts_of(instruction, a, reference, context)
+    sb = F.coalesce(F.col(b), F.lit(""))
+    both = with_own(with_own(with_shared(df, i, t, c), sa, "_a", parse_code), sb, "_b", parse_code)
+    both = both.withColumn("_o", overlaps([F.col(x) for x in ("_i", "_t", "_c", "_s_a", "_s_b")], [(k, j) for j in (3, 4) for k in range(3)]))
+    task = F.coalesce(F.col(label), F.lit(lex.DEFAULT_TASK))
+    for s, suffix, at in ((sa, "_a", 3), (sb, "_b", 4)):
+        both = judged(both, i, s, t, c, task, suffix, at, beta, threshold, parse_code)
+    both = both.drop("_o", *SHARED)
     first, second = F.round("overall_score_a", 4), F.round("overall_score_b", 4)
     winner = F.when(first > second, "a").when(second > first, "b").otherwise("tie")
-    return both.withColumns({"winner": winner, "difference": first - second, "has_context": ~tx.is_blank(F.col(names.get("context", "context")))})
+    return both.withColumns({"winner": winner, "difference": first - second, "has_context": ~tx.is_blank(F.col(context))})
 
 
 def improvement_column(before: Column, after: Column) -> Column:

@@ -10,7 +10,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusgauge.session import read_table
+from corpusgauge.session import read_table, spread
 
 #: Question and answer records, two answers each, one per user turn.
 EVAL_RECORDS = """
@@ -100,13 +100,31 @@ JOIN (SELECT * FROM (VALUES (0, 0), (0, 1), (1, 0)) AS t(again, copy)) z
   ON z.again = CASE WHEN event_id % 20 = 0 THEN 0 ELSE 1 END
 """
 
-INPUTS = {"eval_records": EVAL_RECORDS, "doc_pairs": DOC_PAIRS, "scored": SCORED, "status_events": STATUS_EVENTS}
+#: Texts that show formats well and badly formed, by ``k``; ``<`` and ``>`` stand for curly brackets.
+FORMAT_CASES = """
+SELECT id, k, CAST('technical_code' AS STRING) AS task_label, 'Write it' AS input, CAST(NULL AS STRING) AS context, CAST(NULL AS STRING) AS teacher_output,
+       replace(replace(CASE k WHEN 0 THEN '<"id": ' || id || ', "h": "' || m || '">' WHEN 1 THEN '<"id": ' || id || '> and ' || m
+         WHEN 2 THEN '[NaN, -Infinity, ' || id || ']' WHEN 3 THEN '```json' || chr(10) || '<"a": [1, <"b": "' || m || '">]>' || chr(10) || '```'
+         WHEN 4 THEN '```json' || chr(10) || '<"a": 1,>' || chr(10) || '``` then <"b": 2>' WHEN 5 THEN '```' || chr(10) || '[1, 2' || chr(10) || '``` [3]'
+         WHEN 6 THEN '<"a": 1> and <"b": ' || id || '>' WHEN 7 THEN m || ' [' || id || ', 2] ' || m WHEN 8 THEN '<"a": 01>'
+         WHEN 9 THEN repeat('[', 60) || repeat(']', 60) WHEN 10 THEN '"' || m || '"' WHEN 11 THEN m || ' plain' WHEN 12 THEN '[1, 2] and <"a": 1>'
+         WHEN 13 THEN '<"a": "x' || chr(10) || 'y">' WHEN 15 THEN '<"a": "' || chr(92) || 'u00e9 ' || chr(92) || 'n ' || chr(92) || '" ">'
+         WHEN 16 THEN 'def f(x):' || chr(10) || '    return x + ' || id WHEN 17 THEN '```python' || chr(10) || 'print(' || id || ')' || chr(10) || '``` text'
+         WHEN 18 THEN '```python' || chr(10) || 'print(' || id || chr(10) || '```' WHEN 19 THEN 'def broken(:'
+         WHEN 20 THEN '```' || chr(10) || 'for i in range(3):' || chr(10) || '    pass' || chr(10) || '```' WHEN 21 THEN 'function words here'
+         WHEN 22 THEN '```' || chr(10) || 'foo bar' || chr(10) || '``` ```python' || chr(10) || 'x = ' || id || chr(10) || '```'
+         WHEN 23 THEN 'def f(): return "(" + "' || m || '"' END, '<', chr(123)), '>', chr(125)) AS student_output
+FROM (SELECT conv_id * 1000 + turn AS id, (conv_id * 5 + turn) % 24 AS k, md5(coalesce(text, '')) AS m FROM {conversations}) x
+"""
+
+INPUTS = {"format_cases": FORMAT_CASES, "eval_records": EVAL_RECORDS, "doc_pairs": DOC_PAIRS, "scored": SCORED, "status_events": STATUS_EVENTS}
 
 
 def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The derived table as a DataFrame."""
     sql = INPUTS[name]
     tables = {t: read_table(spark, sf_dir, t) for t in set(re.findall(r"\{([a-z]+)\}", sql))}
+    tables |= {t: spread(tables[t]) for t in ("documents", "conversations") if t in tables}
     return spark.sql(re.sub(r"\{(?![a-z]+\})", "{{", sql).replace('"}', '"}}'), **tables)
 
 

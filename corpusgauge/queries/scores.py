@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusgauge.functions import lexicons as lex
 from corpusgauge.functions import text as tx
+from corpusgauge.functions.json_check import holds_json
 from corpusgauge.operators import scoring
 from corpusgauge.plans import inputs
 
@@ -280,4 +281,34 @@ simple("g15_length_limit", "eval_records", lambda: {"n": tx.length_limit(F.col("
 simple("g18_format_flags", "eval_records", lambda: {k: v for k, v in tx.format_flags(F.col(S)).items() if k in ("has_json", "has_code", "has_list", "has_headers", "has_table")}, {
     "has_json": f"coalesce(contains({S}, '{{') OR contains({S}, '['), false)", "has_code": f"coalesce(contains({S}, '```') OR contains({S}, 'def ') OR contains({S}, 'function '), false)",
     "has_list": f"coalesce(regexp_matches({S}, '(?m)^\\s*[-*•]\\s+') OR regexp_matches({S}, '(?m)^\\s*\\d+[.)]\\s+'), false)", "has_headers": f"coalesce(regexp_matches({S}, '(?m)^#+\\s+'), false)", "has_table": f"coalesce(regexp_matches({S}, '\\|.*\\|'), false)"})
-simple("g16_json_validity", "eval_records", lambda: {"valid": tx.is_json(F.col(S))}, {"valid": f"coalesce(json_valid(trim({S})), false)"})
+simple("g16_json_validity", "eval_records", lambda: {"valid": holds_json(F.col(S))}, {"valid": f"coalesce(json_valid(trim({S})), false)"})
+
+# ---- formats well and badly formed ---------------------------------------------
+
+CASES = f"({inputs.text('format_cases')}) c"
+GOOD_JSON, CODE, GOOD_CODE = "(0, 1, 2, 3, 7, 9, 10, 12, 15)", "(3, 4, 5, 16, 17, 18, 19, 20, 21, 22, 23)", "(3, 4, 16, 17, 20, 22, 23)"
+
+
+def g16_json_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strict JSON: text behind a value, NaN, fences, depth, escapes."""
+    return inputs.frame(spark, sf_dir, "format_cases").select("id", holds_json(F.col("student_output")).alias("valid"))
+
+
+def g17_code_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code by a parser; brackets alone judge some of these otherwise."""
+    flags = tx.format_flags(F.col("student_output"), parse_code=True)
+    return inputs.frame(spark, sf_dir, "format_cases").select("id", *[flags[k].alias(k) for k in ("has_code", "code_valid", "has_json", "json_valid")])
+
+
+def h10_code_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = scoring.score_v2(inputs.frame(spark, sf_dir, "format_cases"), parse_code=True)
+    return scored.select("id", *rounded("structured_correctness"))
+
+
+QUERIES |= {f.__name__: f for f in (g16_json_cases, g17_code_cases, h10_code_cases)}
+BRACKET = "coalesce(contains(student_output, '{') OR contains(student_output, '['), false)"
+ORACLES |= {
+    "g16_json_cases": f"SELECT id, k IN {GOOD_JSON} AS valid FROM {CASES}",
+    "g17_code_cases": f"SELECT id, k IN {CODE} AS has_code, k IN {GOOD_CODE} AS code_valid, {BRACKET} AS has_json, {BRACKET} AND k IN {GOOD_JSON} AS json_valid FROM {CASES}",
+    "h10_code_cases": f"SELECT id, CASE WHEN k IN {GOOD_CODE} THEN 1.0 WHEN k IN {CODE} THEN 0.5 ELSE 0.2 END::DOUBLE AS structured_correctness FROM {CASES}",
+}

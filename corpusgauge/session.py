@@ -33,5 +33,13 @@ def settle(df: DataFrame, partitions: int | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, below: int = 64 << 20) -> DataFrame:
+    """A small table dealt to all cores, for work that costs much more than its
+    bytes: its file may be one row group, hence one task. Tables of ``below``
+    bytes or more have enough splits and stay as they are."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < below else df
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

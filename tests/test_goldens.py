@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusgauge.functions import text as tx
+from corpusgauge.functions.json_check import holds_json
 from corpusgauge.operators import improve, ngrams, scoring, tables
 from corpusgauge.streaming import events as ev
 
@@ -53,7 +54,7 @@ def test_text_primitives(spark):
     assert first(tx.cut_suffix(F.lit("How do you make tea? (Manual Test #1: 14:19:11)"))) == "How do you make tea?"
     assert first(tx.length_limit(F.lit("in under 20 words"))) == 20
     assert first(tx.script_language(F.lit("привет"))) == "russian" and first(tx.script_language(F.lit(""))) == "unknown"
-    assert first(tx.is_json(F.lit('see ```json\n{"a": 1}\n```'))) and not first(tx.is_json(F.lit("{oops")))
+    assert first(holds_json(F.lit('see ```json\n{"a": 1}\n```'))) and not first(holds_json(F.lit("{oops")))
     assert first(tx.brackets_match(F.lit("f(x[1]{})"))) and not first(tx.brackets_match(F.lit("(]")))
     assert first(tx.derive_context(F.lit("Short one"), F.lit("general_qa"))) == "Teacher answer: Short one"
     assert first(tx.derive_context(F.lit("Add two numbers first. Then divide by ten. Done!"), F.lit("math_logic"))) == "Mathematical approach: Add two numbers first"

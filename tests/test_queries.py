@@ -62,11 +62,15 @@ def test_scoring_shuffles_nothing(spark):
         assert "Exchange" not in plan(scored) and "Python" not in plan(scored)
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+#: Queries with a documented step in Python.
+IN_PYTHON = {"h23_rouge_l", "g17_code_cases", "h10_code_cases"}
+
+
+@pytest.mark.parametrize("name", sorted(n for n in QUERIES if "_stream_" not in n))
 def test_plans_hold_no_product_and_no_python(spark, name):
     text = QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "Join Cross" not in text
-    if name != "h23_rouge_l":
+    if name not in IN_PYTHON:
         assert not re.search("Python|Pandas|Arrow", text)
 
 
