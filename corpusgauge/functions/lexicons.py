@@ -107,3 +107,4 @@ TASK_RULES = (
     ("creative_generative", CREATIVE_GENERATIVE),
 )
 DEFAULT_TASK = "general_qa"
+TASKS = tuple(task for task, _ in TASK_RULES) + (DEFAULT_TASK,)

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from corpusgauge.functions.text import BLANKS
 from corpusgauge.operators.scoring import overlaps
+from corpusgauge.operators.stems import stems
+from corpusgauge.session import settle
 
 
 def rouge_tokens(text: Column) -> Column:
@@ -50,6 +52,35 @@ def rouge_1(df: DataFrame, ref: str, hyp: str) -> DataFrame:
     return df.withColumn("rouge1", f1(o["p01"]["m"], F.size("_r"), F.size("_h"))).drop("_r", "_h")
 
 
+#: Up to so many distinct tokens their stems are sent to all tasks; more are joined by a shuffle.
+FEW_TOKENS = 1 << 20
+
+
+def stemmed_tokens(df: DataFrame, id_col: str, texts: dict[str, str]) -> DataFrame:
+    """``id`` and for each name the text's tokens, in order, as stems.
+
+    Tokens are rows here: the distinct ones are stemmed once, joined back and
+    gathered by id. ``id_col`` has to tell rows apart; a null or empty text has
+    an empty array.
+    """
+    roles = F.array(*[F.struct(F.lit(n).alias("role"), rouge_tokens(F.col(c)).alias("tokens")) for n, c in texts.items()])
+    rows = df.select(F.col(id_col).alias("id"), F.explode(roles).alias("_t")).select("id", "_t.role", F.posexplode_outer("_t.tokens").alias("pos", "token"))
+    known = settle(stems(rows.filter(F.col("token").isNotNull())))
+    known = F.broadcast(known) if known.count() <= FEW_TOKENS else known
+    both = rows.join(known, "token", "left")
+    word = F.when(F.col("token").isNotNull(), F.struct("pos", "stem"))
+    gathered = both.groupBy("id").agg(*[F.array_sort(F.collect_list(F.when(F.col("role") == n, word))).alias(n) for n in texts])
+    return gathered.select("id", *[F.col(f"{n}.stem").alias(n) for n in texts])
+
+
+def rouge_stemmed(df: DataFrame, ref: str, hyp: str, id_col: str = "id") -> DataFrame:
+    """``id, rouge1, rougeL`` (F1) over stems; ``id_col`` has to be unique."""
+    made = stemmed_tokens(df, id_col, {"_r": ref, "_h": hyp})
+    o = overlaps([F.col("_r"), F.col("_h")], [(0, 1)])
+    lcs = F.pandas_udf(lcs_column, "long")
+    return made.select(F.col("id").alias(id_col), f1(o["p01"]["m"], F.size("_r"), F.size("_h")).alias("rouge1"), f1(lcs("_r", "_h"), F.size("_r"), F.size("_h")).alias("rougeL"))
+
+
 def grams(tokens: Column, n: int) -> Column:
     made = F.transform(tokens, lambda t, i: F.when(i + n <= F.size(tokens), F.concat_ws(" ", t, *[F.get(tokens, i + k) for k in range(1, n)])))
     return F.filter(made, lambda g: g.isNotNull())

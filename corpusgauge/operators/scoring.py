@@ -280,5 +280,31 @@ def compare_models(df: DataFrame, a: str, b: str, reference: str, instruction: s
     return both.withColumns({"winner": winner, "difference": first - second, "has_context": ~tx.is_blank(F.col(context))})
 
 
+LEVELS = ("category", "context", "overall")
+
+
+def comparison_levels(compared: DataFrame, label: str = "task_label", categories: tuple[str, ...] = lex.TASKS) -> DataFrame:
+    """D7, D8 and D9 from one pass over compared rows: ``level, name, n`` with
+    wins, mean scores and winner by category, by context and in all.
+
+    One grouping over three sets, so rows are scored and shuffled once. Groups
+    that are always reported (the categories, with and without context, all)
+    stand with a count of 0 and no means where no row is in them; other
+    categories come out beside them.
+    """
+    means = ("overall_score", "hallucination", "context_grounding", "faithfulness")
+    made = compared.withColumnRenamed(label, "_label").groupingSets([["_label"], ["has_context"], []], "_label", "has_context").agg(
+        F.grouping_id().alias("_g"), F.count("*").alias("n"), *[F.count_if(F.col("winner") == w).alias(x) for w, x in (("a", "wins_a"), ("b", "wins_b"), ("tie", "ties"))],
+        *[F.avg(f"{m}_{x}").alias(f"{m}_{x}") for m in means for x in "ab"])
+    # the id of a set has a bit for each column that is rolled up
+    level = F.when(F.col("_g") == 1, "category").when(F.col("_g") == 2, "context").otherwise("overall")
+    name = F.when(F.col("_g") == 1, F.coalesce("_label", F.lit("no label"))).when(F.col("_g") == 2, F.when(F.col("has_context"), "with_context").otherwise("without_context")).otherwise("all")
+    made = made.withColumns({"level": level, "name": name}).drop("_g", "_label", "has_context").filter((F.col("level") != "overall") | (F.col("n") > 0))
+    fixed = [("category", c) for c in categories] + [("context", "with_context"), ("context", "without_context"), ("overall", "all")]
+    both = compared.sparkSession.createDataFrame(fixed, "level string, name string").join(made, ["level", "name"], "full")
+    a, b = F.col("overall_score_a"), F.col("overall_score_b")
+    return both.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n", "wins_a", "wins_b", "ties")}).withColumn("winner", F.when(a > b, "a").when(b > a, "b").when(a.isNotNull(), "tie"))
+
+
 def improvement_column(before: Column, after: Column) -> Column:
     return F.bround(F.coalesce(after, F.lit(0.0)) - F.coalesce(before, F.lit(0.0)), 4)

@@ -102,6 +102,15 @@ def exact_cut(df: DataFrame, order: list[Column], share: float, buckets: int = 4
     return out.withColumn("part", F.when(F.col("place") <= F.floor(F.lit(share) * F.col("_all")), "train").otherwise("val")).drop("_bucket", "_before", "_all")
 
 
+def scaled(df: DataFrame, key: str) -> DataFrame:
+    """``df`` with ``_u`` in [0, 1): a key's place between the table's least and
+    greatest, so that ``exact_cut`` has buckets that follow the data at every
+    size. Runs once over the key."""
+    low, high = df.agg(F.min(key), F.max(key)).first()
+    width = float((high or 0) - (low or 0)) + 1.0
+    return df.withColumn("_u", (F.col(key) - F.lit(low or 0)) / F.lit(width))
+
+
 def hash_unit(key: Column, seed: int) -> Column:
     """A number in [0, 1) from the md5 of seed and key, the same in any engine."""
     return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string"))), 1, 8), 16, 10).cast("long") / F.lit(float(1 << 32))

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusgauge.functions import lexicons as lex
 from corpusgauge.functions import text as tx
-from corpusgauge.operators import ngrams, tables
+from corpusgauge.operators import batching, ngrams, tables
 from corpusgauge.plans import inputs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -104,8 +105,7 @@ def d24_length_profile(df):
 @query(f"SELECT row_number() OVER (ORDER BY id) AS place, trim(input) AS instruction, coalesce(context, '') AS context FROM {ER}")
 def i01_experiment_records(df):
     """Ids by the order of the source ids, counted per bucket."""
-    scaled = df.withColumn("_u", F.least(F.lit(0.999999), F.col("id") / F.lit(float(1 << 24))))
-    placed = tables.exact_cut(scaled, [F.col("_u"), F.col("id")], 1.0)
+    placed = tables.exact_cut(tables.scaled(df, "id"), [F.col("_u"), F.col("id")], 1.0)
     return placed.select("place", F.trim("input").alias("instruction"), F.coalesce("context", F.lit("")).alias("context"))
 
 
@@ -128,8 +128,7 @@ def i03_seeded_split(df):
 
 @query(sql_split("id", 0.95, SC), "scored")
 def i04_ordered_split(df):
-    scaled = df.select("id").withColumn("_u", F.least(F.lit(0.999999), F.col("id") / F.lit(float(1 << 22))))
-    return tables.exact_cut(scaled, [F.col("_u"), F.col("id")], 0.95).select("id", "part")
+    return tables.exact_cut(tables.scaled(df.select("id"), "id"), [F.col("_u"), F.col("id")], 0.95).select("id", "part")
 
 
 @query(sql_split(UNIT.replace("{seed}", "7") + ", id", 0.9, SC), "scored")
@@ -142,6 +141,16 @@ def sql_grams(n: int) -> str:
     return f"[{piece} FOR k IN range(1, len(l) - {n} + 2)]"
 
 
+def longest_common(ref: str, hyp: str) -> str:
+    """ROUGE-L in SQL: a row of the table of common lengths for each word of the
+    second text. Rows never fall, so a cell is the greatest of the one above and,
+    over matching places so far, one more than the cell before them above."""
+    step = "[greatest(t.line[j + 1], coalesce(list_max([t.line[i] + 1 FOR i IN range(1, j + 1) IF r[i] = h[t.k + 1]]), 0)) FOR j IN range(1, len(r) + 1)]"
+    return f"""WITH RECURSIVE rec AS (SELECT id, regexp_extract_all(lower(coalesce({ref}, '')), '[a-z0-9]+') AS r, regexp_extract_all(lower(coalesce({hyp}, '')), '[a-z0-9]+') AS h FROM {ER}),
+t AS (SELECT id, 0 AS k, [0 FOR x IN range(len(r) + 1)] AS line FROM rec UNION ALL SELECT t.id, t.k + 1, [0] || {step} FROM t JOIN rec ON rec.id = t.id WHERE t.k < len(h))
+SELECT rec.id, round(coalesce(2.0 * t.line[-1] / nullif(len(r) + len(h), 0), 0), 6) AS rougeL FROM rec JOIN t ON t.id = rec.id AND t.k = len(h)"""
+
+
 ROUGE = f"""WITH rec AS (SELECT id, regexp_extract_all(lower(coalesce(teacher_output, '')), '[a-z0-9]+') AS r, regexp_extract_all(lower(coalesce(student_output_tuned, '')), '[a-z0-9]+') AS h FROM {ER}),
 t AS (SELECT id, 'r' AS s, unnest(r) AS w FROM rec UNION ALL SELECT id, 'h', unnest(h) FROM rec),
 c AS (SELECT id, w, count(*) FILTER (s = 'r') AS a, count(*) FILTER (s = 'h') AS b FROM t GROUP BY id, w),
@@ -154,9 +163,27 @@ def h23_rouge_1(df):
     return ngrams.rouge_1(df, "teacher_output", "student_output_tuned").select("id", F.round("rouge1", 6).alias("rouge1"))
 
 
-@query(None)
+@query(longest_common("teacher_output", "student_output"))
 def h23_rouge_l(df):
-    return ngrams.rouge(df, "teacher_output", "student_output_tuned").select("id", F.round("rougeL", 6).alias("rougeL"))
+    return ngrams.rouge(df, "teacher_output", "student_output").select("id", F.round("rougeL", 6).alias("rougeL"))
+
+
+@query(None)
+def h23_rouge_stemmed(df):
+    """Both scores over stems, as the scorer with its stemmer on gives them."""
+    return ngrams.rouge_stemmed(df, "teacher_output", "student_output").select("id", F.round("rouge1", 6).alias("rouge1"), F.round("rougeL", 6).alias("rougeL"))
+
+
+def prompt_sizes(batch: pd.DataFrame) -> pd.Series:
+    return batch["input"].str.len() + batch["context"].fillna("").str.len()
+
+
+@query(f"SELECT id, length(input) + length(coalesce(context, '')) AS result FROM {ER}")
+def f06_length_batches(df):
+    """A batch function over blocks of 50 records of like length."""
+    size = F.length("input") + F.length(F.coalesce("context", F.lit("")))
+    made = batching.in_batches(df.select("id", "input", "context"), prompt_sizes, size, result="long")
+    return made.select("id", "result")
 
 
 BLEU_PARTS = ", ".join(f"coalesce((SELECT sum(hits) FROM m WHERE m.id = rec.id AND m.n = {n}), 0) AS m{n}, greatest(1, len(h) - {n} + 1) AS d{n}" for n in range(1, 5))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from corpusgauge.functions import lexicons as lex
 from corpusgauge.functions import text as tx
 from corpusgauge.functions.json_check import holds_json
-from corpusgauge.operators import scoring
+from corpusgauge.operators import scoring, vectors
 from corpusgauge.plans import inputs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -283,6 +283,45 @@ simple("g18_format_flags", "eval_records", lambda: {k: v for k, v in tx.format_f
     "has_list": f"coalesce(regexp_matches({S}, '(?m)^\\s*[-*•]\\s+') OR regexp_matches({S}, '(?m)^\\s*\\d+[.)]\\s+'), false)", "has_headers": f"coalesce(regexp_matches({S}, '(?m)^#+\\s+'), false)", "has_table": f"coalesce(regexp_matches({S}, '\\|.*\\|'), false)"})
 simple("g16_json_validity", "eval_records", lambda: {"valid": holds_json(F.col(S))}, {"valid": f"coalesce(json_valid(trim({S})), false)"})
 
+# ---- all levels of a comparison, term vectors -----------------------------------
+
+def d09_comparison_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Categories, contexts and all of them from one scoring pass. Rows of one
+    category are left out, which is still reported, with a count of 0."""
+    made = scoring.comparison_levels(compared(spark, sf_dir).filter("task_label <> 'math_logic'"))
+    means = [F.round(c, DIGITS).alias(c) for c in made.columns if c.endswith(("_a", "_b")) and not c.startswith("wins")]
+    return made.select("level", "name", "n", "wins_a", "wins_b", "ties", "winner", *means)
+
+
+SQL_MEANS = ", ".join(f"round(avg({c}{x}), 6) AS {m}_{x}" for m, c in (("overall_score", "o"), ("hallucination", "h"), ("context_grounding", "g"), ("faithfulness", "f")) for x in "ab")
+SQL_LEVELS = sql_compared().replace("AS ca FROM v2)", "AS ca, context_grounding AS ga, faithfulness AS fa FROM v2)").replace("AS cb FROM v2)", "AS cb, context_grounding AS gb, faithfulness AS fb FROM v2)").replace("sa.*, sb.ob, sb.hb, sb.cb", "sa.*, sb.* EXCLUDE (id)")
+QUERIES["d09_comparison_levels"] = d09_comparison_levels
+ORACLES["d09_comparison_levels"] = SQL_LEVELS + f""", part AS (SELECT * FROM cmp WHERE task_label <> 'math_logic'), lv AS ({' UNION ALL '.join(f"SELECT '{level}' AS level, {name} AS name, {SQL_WINS}, CASE WHEN avg(oa) > avg(ob) THEN 'a' WHEN avg(ob) > avg(oa) THEN 'b' ELSE 'tie' END AS winner, {SQL_MEANS} FROM part GROUP BY 2" for level, name in (('category', 'task_label'), ('context', "CASE WHEN has_context THEN 'with_context' ELSE 'without_context' END"), ('overall', "'all'")))})
+SELECT * REPLACE (coalesce(n, 0) AS n, coalesce(wins_a, 0) AS wins_a, coalesce(wins_b, 0) AS wins_b, coalesce(ties, 0) AS ties) FROM lv FULL JOIN (SELECT * FROM (VALUES {', '.join(f"('category', '{c}')" for c in lex.TASKS)}, ('context', 'with_context'), ('context', 'without_context'), ('overall', 'all')) t(level, name)) x USING (level, name)"""
+
+ROLES = {"q": "input", "t": "expected_output", "c": "context", "s": "actual_output"}
+
+
+def doc_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.term_rows(inputs.frame(spark, sf_dir, "doc_pairs"), "id", {r: tx.content_tokens(F.col(c)) for r, c in ROLES.items()})
+
+
+def g06_term_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.unit_vectors(doc_terms(spark, sf_dir)).select("id", "role", "token", "tf", F.round("weight", DIGITS).alias("weight"))
+
+
+def g07_relational_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = vectors.relational_overlaps(doc_terms(spark, sf_dir), [("q", "s"), ("t", "s"), ("c", "s")])
+    return made.select("id", *rounded("cos_q_s", "cos_t_s", "cos_c_s"), "shared_c_s")
+
+
+QUERIES |= {f.__name__: f for f in (g06_term_vectors, g07_relational_cosine)}
+DOC_COUNTS = sql_counts("doc_pairs", *ROLES.values(), 1)
+ORACLES |= {
+    "g06_term_vectors": DOC_COUNTS + ", n AS (SELECT id, r, w, count(*) AS tf FROM tk GROUP BY ALL) SELECT id, r AS role, w AS token, tf, round(tf / sqrt(sum(tf * tf) OVER (PARTITION BY id, r)), 6) AS weight FROM n",
+    "g07_relational_cosine": DOC_COUNTS + " SELECT ag.id, round(cq, 6) AS cos_q_s, round(ct, 6) AS cos_t_s, round(ccs, 6) AS cos_c_s, CAST(ag.ncs AS BIGINT) AS shared_c_s FROM ag JOIN sm ON sm.id = ag.id",
+}
+
 # ---- formats well and badly formed ---------------------------------------------
 
 CASES = f"({inputs.text('format_cases')}) c"

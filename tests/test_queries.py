@@ -63,7 +63,7 @@ def test_scoring_shuffles_nothing(spark):
 
 
 #: Queries with a documented step in Python.
-IN_PYTHON = {"h23_rouge_l", "g17_code_cases", "h10_code_cases"}
+IN_PYTHON = {"h23_rouge_l", "h23_rouge_stemmed", "f06_length_batches", "g17_code_cases", "h10_code_cases"}
 
 
 @pytest.mark.parametrize("name", sorted(n for n in QUERIES if "_stream_" not in n))
