@@ -9,7 +9,7 @@ needs is abandoned unsorted (``equal_partitions``).
 
 Words are 64-bit codes that include the language. Pointers are counted by tasks
 first: equal suffixes of a chunk of text are one pointer with a weight. Where
-both leading words are hot, a pair may fill more than a shard; such pointers are
+both leading words are hot, a pair may be too much for a shard; such pointers are
 routed by all three words, and the pair's parts are summed after the sort.
 """
 
@@ -36,7 +36,7 @@ ENDS_PIECE[CUTS] = True
 IN_WORD = ~ENDS_PIECE
 IN_WORD[[0x20, 0x09]] = False
 
-#: Hot words are those with more than 1 in so many of all occurrences, hence at most as many words.
+#: A hot word has more than 1 in so many of all occurrences, so there are at most as many.
 HOT_SHARE = 1 << 20
 
 
@@ -236,13 +236,16 @@ def cut_score(a: str, left: str, right: str) -> Column:
     return F.expr(f"(CAST(1000000 AS DECIMAL(7, 0)) * {whole.format(a)} * {whole.format(a)}) div ({whole.format(left)} * {whole.format(right)})")
 
 
-def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = 10, covered: int = 50, top: int = 2000, chunk_words: int = 1 << 19, shard_words: int = 1 << 18) -> DataFrame:
+def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = 10, covered: int = 50, top: int = 2000, chunk_words: int = 1 << 19, shard_words: int = 1 << 18, hot_words: int = 1 << 20) -> DataFrame:
     """``lang, rank, phrase, a, l, r, n, score`` of each language's first
     ``top`` phrases of two and three words that occur ``least`` times.
 
     The score of a cut of a phrase is a * a / (l * r) in millionths; the lowest
     cut counts, of equal ones the first. A pair is dropped if a frequent triple
-    that holds it occurs in ``covered`` percent of its places or more. A null
+    that holds it occurs in ``covered`` percent of its places or more. Tasks hold
+    ``chunk_words`` words of text, or a shard of about ``shard_words`` pointers
+    and at most one pair's beyond that; pairs of words that both occur more than
+    ``hot_words`` times are split over shards. A null
     language is ``und``, a null or empty text has no words, repeated rows count
     each, ties end by the phrase's bytes, an empty table gives an empty result,
     and no other column of ``docs`` is read. Exact up to equal 64-bit codes of
@@ -253,7 +256,7 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least:
     totals = vocabulary.groupBy("lang").agg(F.sum("f").alias("n"))
     total = vocabulary.agg(F.sum("f")).first()[0] or 0
     shards = max(1, -(-total // shard_words))
-    hot = vocabulary.filter(F.col("f") > max(shard_words // 8, total // HOT_SHARE)).select("code", "f")
+    hot = vocabulary.filter(F.col("f") > max(hot_words, total // HOT_SHARE)).select("code", "f")
     hot_codes = np.sort(hot.toArrow().column("code").to_numpy().view(U))
     counts = settle(phrase_counts(routed(docs, hot_codes, shards, chunk_words), least))
 

@@ -65,7 +65,7 @@ def test_phrases_match_brute_force(spark):
 def test_many_shards_hot_words_and_short_lists(spark):
     """Small chunks and shards: hot pairs are split over shards by all words."""
     rows = made(2)
-    assert run(spark, rows, chunk_words=200, shard_words=800, top=7, least=4) == brute(rows, least=4, top=7)
+    assert run(spark, rows, chunk_words=200, shard_words=800, hot_words=100, top=7, least=4) == brute(rows, least=4, top=7)
     assert run(spark, [], top=5) == []
 
 
