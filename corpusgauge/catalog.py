@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusgauge.queries import analytics, events, growth, records, relational, scores, streams
+from corpusgauge.queries import analytics, events, growth, records, relational, reports, scores, streams
 
-MODULES = (scores, analytics, relational, records, events, streams, growth)
+MODULES = (scores, analytics, relational, records, events, streams, growth, reports)
 
 
 def queries() -> dict:

@@ -157,13 +157,100 @@ def learning_curve(df: DataFrame, key: str, values: dict[str, Column]) -> DataFr
     means = df.groupBy(key).agg(*[F.avg(v).alias(k) for k, v in values.items()]).withColumn("_block", F.floor(F.col(key) / 1024))
     w = Window.partitionBy("_block").orderBy(key)
     edges = means.groupBy("_block").agg(F.max_by(F.struct(*values), key).alias("_last"))
-    numbered = edges.groupBy().agg(F.sort_array(F.collect_list("_block")).alias("_all")).select(F.explode(F.arrays_zip("_all", F.slice("_all", 2, 2**31 - 1).alias("_next"))).alias("z"))
-    handed = numbered.select(F.col("z._all").alias("_block"), F.col("z._next").alias("_to")).join(edges, "_block").select(F.col("_to").alias("_block"), "_last")
+    # a block's predecessor is the greatest block below it: neighbours in the table of blocks, by blocks of blocks
+    far = edges.withColumn("_far", F.floor(F.col("_block") / 1024))
+    tops = far.groupBy("_far").agg(F.max_by(F.struct("_block", "_last"), "_block").alias("_top"))
+    over = Window.orderBy("_far")
+    tops = tops.select("_far", F.lag("_top").over(over).alias("_before"))  # one row for a million keys
+    own = Window.partitionBy("_far").orderBy("_block")
+    handed = far.join(tops, "_far").select("_block", F.coalesce(F.lag("_last").over(own), F.col("_before._last")).alias("_last"))
     out = means.join(handed, "_block", "left")
     prior = lambda k: F.coalesce(F.lag(k).over(w), F.when(F.row_number().over(w) == 1, F.col(f"_last.{k}")))
     return out.withColumns({f"{k}_gain": F.col(k) - prior(k) for k in values}).drop("_block", "_last")
 
 
+def plateau(curve: DataFrame, key: str, value: str, least: float) -> DataFrame:
+    """``curve`` (keys with ``value`` and ``value_gain``) with ``share``, the part of
+    the whole gain from the first key to the last that is reached by each key,
+    and ``flat``: the gain is below ``least``. One row for each checkpoint."""
+    ends = curve.agg(F.min_by(value, key).alias("_first"), (F.max_by(value, key) - F.min_by(value, key)).alias("_whole"))
+    both = curve.join(F.broadcast(ends))  # a single row
+    return both.withColumns({"share": F.try_divide(F.col(value) - F.col("_first"), F.col("_whole")), "flat": F.col(f"{value}_gain") < least}).drop("_first", "_whole")
+
+
+def exact_quantiles(df: DataFrame, columns: tuple[str, ...], q: float = 0.5, few: int = 1 << 20, accuracy: int = 10_000) -> DataFrame:
+    """``column, value``: exact interpolated quantiles of numeric columns.
+
+    A quantile is bracketed by estimates a little below and above it; the rows
+    inside are counted by value and the bracket is narrowed until it holds at
+    most ``few`` distinct values, so neither all values nor all distinct ones
+    meet in one task. Nulls and NaN aren't counted; a column without values has
+    a null.
+    """
+    spark = df.sparkSession
+    known = {c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in columns}
+    totals = df.agg(*[F.count(known[c]).alias(c) for c in columns]).first()
+    out: dict[str, float | None] = {c: None for c in columns if not totals[c]}
+    # places (from 0) of the two values between which the quantile lies
+    at = {c: q * (totals[c] - 1) for c in columns if totals[c]}
+    inside = {c: known[c] for c in at}
+    below, step = dict.fromkeys(at, 0), dict.fromkeys(at, 20.0 / accuracy)
+    while at:
+        size = df.agg(*[F.approx_count_distinct(inside[c]).alias(c) for c in at]).first()
+        done = [c for c in at if size[c] <= few]
+        if done:
+            values = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), inside[c].alias("v")) for c in done])).alias("x")).select("x.*").filter("v is not null")
+            counts = values.groupBy("column", "v").agg(F.count("*").alias("n"))
+            run = F.sum("n").over(Window.partitionBy("column").orderBy("v"))
+            places = counts.withColumn("upto", run)
+            wanted = reduce(lambda a, b: a | b, [(F.col("column") == c) & (F.col("upto") > int(at[c]) - below[c]) & (F.col("upto") - F.col("n") <= int(at[c]) + 1 - below[c]) for c in done])
+            found = places.filter(wanted).collect()  # two values a column at most
+            for c in done:
+                own = sorted((r.v, r.upto + below[c]) for r in found if r["column"] == c)
+                pick = lambda k, own=own: next((v for v, upto in own if upto > k), own[-1][0])
+                low, high = pick(int(at[c])), pick(int(at[c]) + 1)
+                out[c] = low + (high - low) * (at[c] - int(at[c]))
+                del at[c]
+        if at:
+            counted = df.agg(*[F.count(inside[c]).alias(c) for c in at]).first()
+            share = {c: (at[c] - below[c]) / counted[c] for c in at}
+            marks = df.agg(*[F.percentile_approx(inside[c], [max(0.0, share[c] - step[c]), min(1.0, share[c] + step[c])], accuracy).alias(c) for c in at]).first()
+            around = df.agg(*[x for c in at for x in (F.count_if(inside[c] < marks[c][0]).alias(f"{c}_low"), F.count_if(inside[c] <= marks[c][1]).alias(f"{c}_high"))]).first()
+            for c in at:
+                place = int(at[c]) - below[c]
+                if around[f"{c}_low"] > place or around[f"{c}_high"] < min(place + 2, counted[c]):
+                    step[c] *= 2  # the estimates left a neighbour out
+                    continue
+                low, high = marks[c]
+                inside[c] = F.when((inside[c] >= low) & (inside[c] <= high), inside[c])
+                below[c] += around[f"{c}_low"]
+    return spark.createDataFrame([(c, None if out[c] is None else float(out[c])) for c in columns], "column string, value double")
+
+
+def rule_flags(summary: DataFrame, signs: DataFrame, worse: tuple[str, ...] = ("toxicity", "hallucination_rate"), better: tuple[str, ...] = ("faithfulness",)) -> DataFrame:
+    """``metric`` with the verdict of each rule on its improvement and signs.
+
+    ``verdict``: mean change above 10 percent, above 0, or not; ``consistency``:
+    more than 70 percent of rows improved or degraded, else mixed; ``warning``:
+    a metric that should fall rose, or one that should rise fell, by more than
+    10 percent of its mean; ``margin``: gain above 0.1, above 0.05, or less.
+    """
+    both = verdicts(summary).join(signs.select("metric", "improved_percent", "degraded_percent"), "metric")
+    part = F.try_divide(F.col("mean_after") - F.col("mean_before"), F.col("mean_before")) * 100
+    metric = F.col("metric")
+    return both.withColumns({
+        "consistency": F.when(F.col("improved_percent") > 70, "improved").when(F.col("degraded_percent") > 70, "degraded").otherwise("mixed"),
+        "warning": F.coalesce(F.when(metric.isin(*worse), part > 10).when(metric.isin(*better), part < -10), F.lit(False)),
+        "margin": F.when(F.col("mean_gain") > 0.1, "large").when(F.col("mean_gain") > 0.05, "moderate").otherwise("small"),
+    })
+
+
+def win_share(wins: Column, n: Column) -> Column:
+    """Word for a share of wins: above 60 percent, above half, or not."""
+    share = F.try_divide(100.0 * wins, n)
+    return F.when(share > 60, "clear").when(share > 50, "narrow").otherwise("none")
+
+
 def any_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions)
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -102,6 +102,24 @@ def exact_cut(df: DataFrame, order: list[Column], share: float, buckets: int = 4
     return out.withColumn("part", F.when(F.col("place") <= F.floor(F.lit(share) * F.col("_all")), "train").otherwise("val")).drop("_bucket", "_before", "_all")
 
 
+def checkpoints_to_long(df: DataFrame, id_col: str, prefixes: tuple[str, ...], n: int, mark: str = "_ckpt") -> DataFrame:
+    """``id, checkpoint`` and a column for each prefix, from columns named
+    prefix, mark, number; checkpoints where all of them are null are left out."""
+    rows = [F.struct(F.lit(k).alias("checkpoint"), *[F.col(f"{p}{mark}{k}").alias(p) for p in prefixes]) for k in range(1, n + 1)]
+    long = df.select(id_col, F.explode(F.array(*rows)).alias("x")).select(id_col, "x.*")
+    return long.filter(F.coalesce(*[F.col(p).cast("string") for p in prefixes]).isNotNull())
+
+
+def first_of_files(spark: SparkSession, glob: str, schema: str, keys: list[str], **options: str) -> DataFrame:
+    """All CSV files that a pattern names, the first row of each key: by file
+    path, then by place in the file. Files of any size are read in splits; a
+    split's start and the order of reading give a row's place."""
+    rows = spark.read.schema(schema).options(**{"header": "true"} | options).csv(glob)
+    names = rows.columns
+    placed = rows.select(*names, F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_row"))
+    return earliest(placed, keys, ["_file", "_start", "_row"]).select(*names)
+
+
 def scaled(df: DataFrame, key: str) -> DataFrame:
     """``df`` with ``_u`` in [0, 1): a key's place between the table's least and
     greatest, so that ``exact_cut`` has buckets that follow the data at every

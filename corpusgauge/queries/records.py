@@ -64,11 +64,31 @@ def d23_label_distribution(df):
     return counts.withColumn("percent", F.round(100 * F.col("n") / F.sum("n").over(Window.partitionBy()), 4))
 
 
-@query(f"SELECT id, array_to_string(list_transform([trim(p, ' ' || chr(10)) FOR p IN regexp_split_to_array(coalesce(teacher_output, ''), '[.!?]+') IF len([w FOR w IN regexp_split_to_array(trim(p, ' ' || chr(10)), '\\s+') IF true]) >= 3][1:4], lambda p: CASE WHEN len(regexp_split_to_array(p, '\\s+')) > 40 THEN array_to_string(regexp_split_to_array(p, '\\s+')[1:40], ' ') ELSE p END), '|') AS sentences FROM {ER}")
+#: The first sentences of a text as a list, in SQL.
+SENTENCES = f"list_transform([trim(p, ' ' || chr(10)) FOR p IN regexp_split_to_array(coalesce(teacher_output, ''), '[.!?]+') IF len([w FOR w IN regexp_split_to_array(trim(p, ' ' || chr(10)), '\\s+') IF true]) >= 3][1:4], lambda p: CASE WHEN len(regexp_split_to_array(p, '\\s+')) > 40 THEN array_to_string(regexp_split_to_array(p, '\\s+')[1:40], ' ') ELSE p END)"
+
+
+@query(f"SELECT id, array_to_string({SENTENCES}, '|') AS sentences FROM {ER}")
 def g20_key_sentences(df):
     return df.select("id", F.array_join(tx.key_sentences(F.col("teacher_output")), "|").alias("sentences"))
 
 
+#: By label: lead, number of sentences, lead and length where there is no sentence.
+LEADS = {"technical_code": ("Technical approach: ", 2, "Teacher guidance: ", 150), "math_logic": ("Mathematical approach: ", 1, "Teacher reasoning: ", 150), "classification_analysis": ("Analysis approach: ", 2, "Teacher analysis: ", 150),
+         "creative_generative": ("Creative guidance: ", 1, "Teacher example: ", 150), "language_editing": ("Language guidance: ", 1, "Teacher example: ", 150), "general_qa": ("Teacher knowledge: ", 2, "Teacher reference: ", 200)}
+CONTEXTS = " ".join(f"WHEN '{label}' THEN CASE WHEN len(s) > 0 THEN '{lead}' || array_to_string(s[1:{n}], ' ') ELSE '{other}' || clean[1:{size}] END" for label, (lead, n, other, size) in LEADS.items())
+#: Every fifth teacher's text is short, every seventh empty, every eleventh one long word.
+TEACHER = "CASE WHEN id % 7 = 0 THEN '' WHEN id % 5 = 0 THEN 'Yes ' || id % 1000 WHEN id % 11 = 0 THEN repeat('x', CAST(id % 300 AS INT)) ELSE teacher_output END"
+
+
+@query(f"""WITH t AS (SELECT id, task_label, {TEACHER} AS teacher_output FROM {ER}), x AS (SELECT id, task_label, teacher_output, regexp_replace(coalesce(teacher_output, ''), '^\\s+|\\s+$', '', 'g') AS clean, {SENTENCES} AS s FROM t),
+m AS (SELECT *, trim(regexp_replace(CASE task_label {CONTEXTS} END, '\\s+', ' ', 'g')) AS made FROM x)
+SELECT id, CASE WHEN coalesce(teacher_output, '') = '' THEN NULL WHEN length(clean) < 20 THEN CASE WHEN length(clean) > 5 THEN 'Teacher answer: ' || clean END WHEN length(made) < 15 THEN NULL WHEN length(made) > 500 THEN made[1:497] || '...' ELSE made END AS context FROM m""")
+def g21_context_cases(df):
+    """Derived contexts of whole, short, empty and one-word teacher texts."""
+    return df.select("id", tx.derive_context(F.expr(TEACHER), F.col("task_label")).alias("context"))
+
+
 @query(None)
 def g21_derived_context(df):
     return df.select("id", tx.derive_context(F.col("teacher_output"), F.col("task_label")).alias("context"))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -11,16 +13,42 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder for intermediate tables: what ``spark.checkpoint.dir`` names.
 
-    Only where the setting is missing (single-machine tests) a temporary
-    folder is chosen and remembered in the session.
+    Only where the setting is missing and all tasks run in one process (tests)
+    a temporary folder is chosen and remembered in the session; on a cluster it
+    would be another folder on each machine, so there it is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("corpusgauge.scratch", None)
     if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="corpusgauge-")
         spark.conf.set("corpusgauge.scratch", root)
     return root.rstrip("/")
 
 
+#: Tables that ``settle`` has written, by application.
+WRITTEN: dict[str, list[str]] = {}
+
+
+def clear_tables(spark: SparkSession) -> int:
+    """Remove the tables that this application has settled so far; results that
+    are still to be read from them must be written first. Returns their number."""
+    paths = WRITTEN.pop(spark.sparkContext.applicationId, [])
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for p in paths:
+        at = jvm.org.apache.hadoop.fs.Path(p)
+        at.getFileSystem(conf).delete(at, True)
+    return len(paths)
+
+
+def ship(spark: SparkSession) -> None:
+    """Send the library to the executors, where it isn't installed there."""
+    root = Path(__file__).resolve().parent
+    made = shutil.make_archive(f"{tempfile.mkdtemp(prefix='corpusgauge-')}/corpusgauge", "zip", root.parent, root.name)
+    spark.addArtifacts(made, pyfile=True)
+
+
 def settle(df: DataFrame, partitions: int | None = None) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
@@ -29,6 +57,7 @@ def settle(df: DataFrame, partitions: int | None = None) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+    WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
     (df if partitions is None else df.coalesce(partitions)).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

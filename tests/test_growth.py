@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from corpusgauge.functions import lexicons as lex
 from corpusgauge.functions import text as tx
-from corpusgauge.operators import batching, estimates, ngrams, scoring, tables, vectors
+from corpusgauge.operators import batching, estimates, improve, ngrams, scoring, tables, vectors
 from corpusgauge.operators.incremental import IncrementalSummary
 from corpusgauge.operators.stems import stems
 
@@ -236,3 +236,28 @@ def test_buckets_follow_the_data(spark):
     cut = tables.exact_cut(scaled, [F.col("_u"), F.col("id")], 0.8).collect()
     assert sum(r.part == "train" for r in cut) == 4000 and {r.place for r in cut} == set(range(1, 5001))
     assert tables.scaled(far.limit(0), "id").count() == 0
+
+
+# ---- exact quantiles ------------------------------------------------------------------
+
+def test_quantiles_are_exact_however_few_values_are_kept(spark):
+    from statistics import median
+
+    rng = random.Random(9)
+    rows = [(rng.lognormvariate(0, 3), rng.choice([1.0, 2.0, 2.0]) if i % 9 else None, float("nan") if i % 50 == 0 else float(i % 700), None) for i in range(6001)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double")
+    cols = list(zip(*rows, strict=True))
+    for few in (10, 300, 1 << 20):
+        got = {r["column"]: r.value for r in improve.exact_quantiles(df, ("a", "b", "c", "d"), few=few).collect()}
+        for i, c in enumerate("abc"):
+            assert got[c] == pytest.approx(median(x for x in cols[i] if x is not None and x == x)), (c, few)
+        assert got["d"] is None
+    for q, place in ((0.0, 0), (1.0, 6000), (0.25, 1500)):
+        assert improve.exact_quantiles(df, ("a",), q, few=10).first().value == pytest.approx(sorted(cols[0])[place])
+
+
+def test_learning_curve_crosses_blocks_of_blocks(spark):
+    keys = [*range(0, 3000, 7), 5 * 10**6, 5 * 10**6 + 1, 9 * 10**9]
+    df = spark.createDataFrame([(k, float(k % 101)) for k in keys for _ in range(2)], "k long, v double")
+    got = {r.k: r.v_gain for r in improve.learning_curve(df, "k", {"v": F.col("v")}).collect()}
+    assert got == {k: None if i == 0 else k % 101 - keys[i - 1] % 101 for i, k in enumerate(keys)}
