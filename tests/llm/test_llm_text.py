@@ -99,8 +99,104 @@ def test_quality_limits_follow_the_values(spark):
     assert "dup_line_ratio" in got[1001].failed_rules and got[1001].n_dup_lines < 0.10 * got[1001].n_words
     assert got[1002].failed_rules == ["long_words"]
     assert sum(got[i].kept for i in range(600)) > 590
+    # a corpus of 20 texts has limits of its own values too
     few = quality.quality_filter(docs_of(spark, rows[:20])).collect()
-    assert {(r.limit_symbol_ratio, r.level_symbol_ratio) for r in few} == {(0.10, "fixed")}
+    assert len({r.limit_symbol_ratio for r in few}) == 1 and 0 < few[0].limit_symbol_ratio < 0.10
+
+
+def test_quality_rules_part_bad_texts_from_clean_ones(spark):
+    """Symbols in one text of twenty: quartiles of the others would be theirs."""
+    rng = random.Random(11)
+    rows = [(i, clean(rng, 200) if i % 20 else re.sub(r"(\w+)", r"\1##", clean(rng, 200)), "en", f"s{i % 3}") for i in range(900)]
+    rows += [(2000 + i, clean(rng, 200) + " # ", "en", "s0") for i in range(5)]
+    got = {r.doc_id: r for r in quality.quality_filter(docs_of(spark, rows)).collect()}
+    bad = [i for i in range(900) if i % 20 == 0]
+    assert all(got[i].failed_rules == ["symbol_ratio"] for i in bad)
+    assert sum(got[i].kept for i in got if i not in set(bad)) >= 0.99 * (len(got) - len(bad)) and all(got[2000 + i].kept for i in range(5))
+
+
+def plain_limits(rows, prior=50.0, spread=3.0, factor=8.0, width=0.02):
+    """Limits of each (language, source) from dictionaries of cells."""
+    import math
+
+    step = math.log1p(width)
+    cell = lambda v: math.floor(math.log(max(v, 1e-6)) / step)
+    zero = cell(0.0)
+    fine = {}
+    for lang, source, text in rows:
+        n, chars, symbols, dup, repeat = brute_counts(text)
+        if n < 10 or 100 * repeat > 20 * n:
+            continue
+        lines = sum(bool(re.findall(r"[^ \t-\r]+", x)) for x in (text or "").split("\n"))
+        letters = (chars - symbols) / n
+        values = {"symbol_ratio": symbols / chars, "repeat_ratio": repeat / n, "dup_line_ratio": dup / max(lines, 1), "long_words": letters, "short_words": letters, "word_chars": chars, "n_words": n, "n_lines": lines}
+        for m, v in values.items():
+            cells = fine.setdefault((lang, source), {}).setdefault(m, {})
+            cells[cell(v)] = cells.get(cell(v), 0) + 1
+
+    def total(sketches):
+        out = {}
+        for s in sketches:
+            for m, cells in s.items():
+                for c, k in cells.items():
+                    out.setdefault(m, {})[c] = out.get(m, {}).get(c, 0) + k
+        return out
+
+    def with_prior(own, above):
+        out = {m: dict(cells) for m, cells in own.items()}
+        for m, cells in out.items():
+            whole = sum(above[m].values())
+            for c, k in above[m].items():
+                cells[c] = cells.get(c, 0) + prior * k / whole
+        return out
+
+    def reach(cells, q):
+        whole, run = sum(cells.values()), 0.0
+        for c in sorted(cells):
+            run += cells[c]
+            if run >= q * whole - 1e-9:
+                return math.exp((c + 1) * step) if c > zero else 0.0
+
+    corpus, limits = total(fine.values()), {}
+    for (lang, source), own in fine.items():
+        by_lang = with_prior(total(s for (x, _), s in fine.items() if x == lang), corpus)
+        sketch = with_prior(own, by_lang)
+        usual = {"symbol_ratio": ("word_chars", 5), "repeat_ratio": ("n_words", 5), "dup_line_ratio": ("n_lines", 2)}
+        for m in ("symbol_ratio", "repeat_ratio", "dup_line_ratio", "long_words", "short_words"):
+            up = {c: k for c, k in sketch[m].items() if c > zero}
+            q1, q3 = (reach(up, q) for q in (0.25, 0.75)) if up else (None, None)
+            limit = None if not up else q1 - spread * (q3 - q1) if m == "short_words" else q3 + spread * (q3 - q1)
+            if m in usual:
+                noise = usual[m][1] / max(reach(sketch[usual[m][0]], 0.5), 1.0)
+                marks = [reach(sketch[m], q) + noise for q in quality.SHARES]
+                gap = next((math.sqrt(a * b) - noise for a, b in zip(marks, marks[1:], strict=False) if b >= factor * a), None)
+                limit = min((x for x in (limit, gap) if x is not None), default=None)
+            limits[lang, source, m] = limit
+    return limits
+
+
+def test_quality_limits_and_verdicts_match_brute_force(spark):
+    rng = random.Random(12)
+    rows = []
+    for i in range(400):
+        text = "\n".join(clean(rng, rng.randrange(3, 12)) for _ in range(rng.randrange(1, 9)))
+        kind = rng.randrange(12)
+        text = text + " #" * rng.randrange(1, 4) if kind < 3 else text.replace(" ", " ## ") if kind == 3 else text + "\n" + text.split("\n")[0] if kind < 6 else text.replace("a", "aaaa") if kind == 6 else text
+        rows.append((i, text, rng.choice(["en", "en", "de", None]), rng.choice(["s0", "s0", "s1", None])))
+    rows += [(1000 + i, t, "en", "s0") for i, t in enumerate(ODD)]
+    want = plain_limits([(r[2], r[3], r[1]) for r in rows])
+    for r in quality.quality_filter(docs_of(spark, rows)).collect():
+        text = next(x[1] for x in rows if x[0] == r.doc_id)
+        n, chars, symbols, dup, repeat = brute_counts(text)
+        lines = max(sum(bool(re.findall(r"[^ \t-\r]+", x)) for x in (text or "").split("\n")), 1)
+        letters = (chars - symbols) / max(n, 1)
+        failed = []
+        for m, v in (("symbol_ratio", symbols / max(chars, 1)), ("repeat_ratio", repeat / max(n, 1)), ("dup_line_ratio", dup / lines), ("long_words", letters), ("short_words", letters)):
+            limit = want.get((r.lang, r.source, m))
+            assert limit is None and r[f"limit_{m}"] is None or r[f"limit_{m}"] == pytest.approx(limit), (r.lang, r.source, m)
+            if limit is not None and (v < limit if m == "short_words" else v > limit):
+                failed.append(m)
+        assert r.failed_rules == failed and r.kept == (not r.base_failed and not failed)
 
 
 def test_quality_sketches_merge_exactly(spark):
