@@ -3,7 +3,9 @@
 import random
 import re
 import zlib
+from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -328,30 +330,76 @@ def test_toxicity_learns_the_pair_and_not_the_held_out_labels(spark):
 
 def test_toxicity_factors_beat_additive_weights():
     """Equal or different: no sum of two weights separates the four cases."""
-    import numpy as np
-
     rng = np.random.default_rng(0)
     n = 800
     a, b = rng.random(n) < 0.5, rng.random(n) < 0.5
     y = (a == b).astype(np.float32)
-    rows, slots = [], []
-    for i in range(n):
-        mine = [2 * 7 + int(a[i]), 2 * 9 + int(b[i])]
-        rows += [i] * 2
-        slots += mine
-    rows, slots = np.array(rows), np.array(slots)
+    rows = [np.array([14 + int(a[i]), 30 + int(b[i])], np.int32) for i in range(n)]
 
     def accuracy(k):
-        m = tox.train(rows, slots, y, 16, k, 200, 1)
-        x = np.zeros((n, len(m.weights)))
-        x[rows, m.slot_to_term[slots]] = 1
-        s = x @ m.factors
-        raw = m.bias + x @ m.weights + 0.5 * ((s * s).sum(1) - x @ (m.factors**2).sum(1))
+        m = tox.train(rows, y, k, 1, size=64)
+        p = np.column_stack([m.weights, m.factors]) * m.values[:, None]
+        raw, _ = tox.raw_scores(p[np.concatenate(rows)], np.repeat(np.arange(n), 2), n, m.bias)
         return ((raw >= 0) == y).mean()
 
     assert accuracy(0) < 0.7 < 0.95 < accuracy(4)
 
 
+def plain_terms(text):
+    """Slots of a text's terms, from sets of words and their beginnings."""
+    words = set(re.findall(rb"[0-9a-z\x80-\xff]+", (text or "").translate(LOWER).encode()))
+    one = lambda piece: Words(np.frombuffer(piece, np.uint8), np.array([0, len(piece)]), ALNUM, lower=False)
+    found = {int(tox.slots(one(w).codes)[0]) for w in words}
+    for size in tox.BEGINNINGS:
+        counts = Counter(w[:size] for w in words if len(w) > size)
+        for start, n in counts.items():
+            code = one(start).spans(np.array([0]), np.array([size]))
+            found |= {int(tox.slots(tox.beginning_code(code, size, np.array([level])))[0]) for level in range(1, min(n, tox.LEVELS) + 1)}
+    return sorted(found)
+
+
+LONG = " ".join(f"word{i} Wörter{i % 7}" for i in range(40_000))
+
+
+def test_toxicity_scores_match_the_formula(spark):
+    """Every term's weight and every pair's product, summed one by one."""
+    docs, labels, _ = labelled(spark, 300)
+    machine = tox.fit(docs, labels)
+    rng = random.Random(3)
+    texts = [None, "", "...", "fools", "Fools MARTIANS", "abandon abandoned abandons abandoning", "a" * 50, *(clean(rng, 15) + " fools" * (i % 2) for i in range(10))]
+    rows = [(i, t, "en", "s") for i, t in enumerate([*texts, LONG])]
+    clash = docs_of(spark, rows).withColumns({"score": F.lit("x"), "predicted": F.lit(7), "held_out": F.lit(None).cast("string")})
+    got = {r.doc_id: r.score for r in tox.score_texts(clash, machine).collect()}
+    for i, t in enumerate(texts):
+        terms = plain_terms(t)
+        x = machine.values[terms].astype(float)
+        raw = machine.bias + sum(machine.weights[terms].astype(float) * x)
+        v = machine.factors[terms].astype(float) * x[:, None]
+        raw += sum(float(v[a] @ v[b]) for a in range(len(terms)) for b in range(a))
+        assert got[i] == pytest.approx(1 / (1 + np.exp(-raw)), abs=1e-5), t
+    assert 0 <= got[len(texts)] <= 1
+    full = tox.toxicity(clash, labels, train_docs=docs).collect()
+    assert len(full) == len(rows) and all(isinstance(r.predicted, int) and isinstance(r.held_out, bool) for r in full)
+
+
+def test_toxicity_finds_unseen_forms_of_a_word(spark):
+    """Words of one stem are known by their beginning; held-out ones are new forms."""
+    rng = random.Random(5)
+    form = lambda k: "réeux" + "".join(rng.choice("aeioulmnr") for _ in range(k))
+    rows = [(i, clean(rng, 25) + (f" {form(3)} {form(4)} {form(5)}" if i % 8 == 0 else ""), "fr", "s") for i in range(1200)]
+    labels = spark.createDataFrame([(i, 1, int(i % 8 == 0)) for i in range(1200)] + [(8, 1, 0)], "doc_id long, quality int, toxic int")
+    got = [r for r in tox.toxicity(docs_of(spark, rows), labels).collect() if r.held_out]
+    found = [r.predicted for r in got if r.doc_id % 8 == 0]
+    assert np.mean(found) >= 0.9 and np.mean([r.predicted for r in got if r.doc_id % 8]) <= 0.02
+
+
+def test_toxicity_sample_is_bounded_in_bytes(spark):
+    docs, labels, _ = labelled(spark, 300)
+    whole = tox.labelled_sample(docs, labels, "doc_id", "text", "toxic", 10_000, 1 << 30, 7)
+    part = tox.labelled_sample(docs.unionByName(docs_of(spark, [(5, LONG, "en", "s")])), labels, "doc_id", "text", "toxic", 10_000, 16_000, 7)
+    assert whole.count() == 300 and 0 < part.agg(F.sum(F.length("text"))).first()[0] < 24_000
+
+
 def test_toxicity_edge_cases(spark):
     docs, labels, _ = labelled(spark, 60)
     odd = docs_of(spark, [(1000 + i, t, None, None) for i, t in enumerate(ODD)] + [(None, "fools", "en", "s"), (1, "twice", "en", "s")])
