@@ -133,7 +133,7 @@ def evidence(row: np.ndarray, slot: np.ndarray, y: np.ndarray, size: int) -> np.
 
 
 def train(rows: list[np.ndarray], y: np.ndarray, n_factors: int = 4, seed: int = 7, size: int = 1 << SLOT_BITS, batch: int = 128, rate: float = 0.1, decay: float = 1e-3) -> Machine:
-    """Adagrad on the logistic loss; toxic rows weigh twice."""
+    """Adagrad on the logistic loss; toxic rows weigh four times."""
     n, pos = len(y), float(y.sum())
     if not 0 < pos < n:
         share = min(max(pos / n if n else 0.0, 1e-6), 1 - 1e-6)
@@ -152,7 +152,7 @@ def train(rows: list[np.ndarray], y: np.ndarray, n_factors: int = 4, seed: int =
             x = values[used][back]
             p = (params[used] * values[used][:, None])[back]
             raw, sums = raw_scores(p, who, len(part), bias)
-            err = (1 / (1 + np.exp(-np.clip(raw, -30, 30))) - y[part]) * (1 + y[part])
+            err = (1 / (1 + np.exp(-np.clip(raw, -30, 30))) - y[part]) * (1 + 3 * y[part])
             grad = np.empty_like(p)
             grad[:, 0] = err[who] * x
             grad[:, 1:] = grad[:, :1] * (sums[who] - p[:, 1:])
