@@ -4,8 +4,10 @@ Hosts are the nodes of a graph; a link from a page of one host to another is an
 edge. Hosts that the rules allow are trusted seeds, and trust flows along the
 links (personalised PageRank). Hosts that the rules block are blocked seeds, and
 distrust flows against the links: who links to a blocked host is suspect. A
-third run from all hosts gives each host's mass without any seed. The share of
-distrust less the share of trust in that mass is held against a threshold.
+third run from all hosts, in both directions, gives each host's mass without
+any seed. Trust and distrust are a host's seeded masses in terms of its own; a
+host is blocked where distrust outweighs trust by a threshold of their sum, and
+is near to or above what an average host would get.
 """
 
 from __future__ import annotations
@@ -57,31 +59,45 @@ def page_edges(pages: DataFrame, host: str = "host", html: str = "html") -> Data
     return linked.unionByName(up).unionByName(down).groupBy("src", "dst").agg(F.count("*").alias("weight"))
 
 
-def flow(edges: DataFrame, start: DataFrame, mass: list[str], rounds: int = 12, damping_percent: int = 85) -> DataFrame:
-    """Personalised PageRank of several masses at once, along ``edges``.
+def flow(edges: DataFrame, start: DataFrame, mass: list[str], damping_percent: int = 85, residual: float = 1e-4, max_rounds: int = 80) -> DataFrame:
+    """Personalised PageRank of several masses at once, along ``edges``, as
+    shares of each mass that add up to 1.
 
     ``start``: host and one starting mass each, in integer parts that add up to
-    ``UNIT``. A host without outgoing edges gives its mass back to nobody.
+    about ``UNIT``. Rounds go on until a step moves less than ``residual`` of a
+    mass. A host without outgoing edges gives its mass back to the start: that
+    is the same as leaving it out and scaling the result.
     """
     out = edges.groupBy("src").agg(F.sum("weight").alias("_all"))
     shares = settle(edges.join(out, "src"))
-    rank = start
-    for k in range(rounds):
+    rank, before = start, start
+    for k in range(max_rounds):
         moved = rank.join(shares, rank["host"] == shares["src"]).select(
             F.col("dst").alias("host"), *[F.floor(F.col(m) * (damping_percent / 100) * (F.col("weight") / F.col("_all"))).cast("long").alias(m) for m in mass])
         based = start.select("host", *[F.floor(F.col(m) * ((100 - damping_percent) / 100)).cast("long").alias(m) for m in mass])
         rank = moved.unionByName(based).groupBy("host").agg(*[F.sum(m).alias(m) for m in mass])
-        if k % 4 == 3:
+        if k % 4 == 2:
+            rank = before = settle(rank)
+        elif k % 4 == 3:
             rank = settle(rank)
-    return rank
+            old = before.select(F.col("host").alias("_host"), *[F.col(m).alias(f"_{m}") for m in mass])
+            both = rank.join(old, F.col("host") == F.col("_host"), "full").fillna(0, [*mass, *[f"_{m}" for m in mass]])
+            moves = both.agg(*[F.sum(F.abs(F.col(m) - F.col(f"_{m}"))).alias(m) for m in mass]).first()
+            if all((moves[m] or 0) <= residual * UNIT for m in mass):
+                break
+    totals = rank.agg(*[F.greatest(F.sum(m), F.lit(1)).alias(m) for m in mass]).first()
+    return rank.select("host", *[(F.col(m) / (totals[m] or 1)).alias(m) for m in mass])
 
 
-def host_verdicts(hosts: DataFrame, edges: DataFrame, threshold: float = 0.5) -> DataFrame:
+def host_verdicts(hosts: DataFrame, edges: DataFrame, threshold: float = 0.2, least: float = 0.85) -> DataFrame:
     """``host, trust, distrust, verdict`` for all hosts.
 
-    ``hosts``: host, n_allowed, n_blocked, n_pages. ``trust`` and ``distrust``
-    are shares of the host's unseeded mass; a host is blocked where distrust less
-    trust is above ``threshold``. A host that no seed reaches is allowed.
+    ``hosts``: host, n_allowed, n_blocked, n_pages. ``trust`` is a host's share
+    of the trust in terms of its share of the unseeded mass, 1 for a host that
+    the seeds favour as much as any other; ``distrust`` likewise, against the
+    links. A host is blocked where their difference is above ``threshold`` of
+    their sum and its distrust above ``least``. A host that no seed reaches is
+    allowed.
     """
     ends = edges.select(F.col("src").alias("host")).union(edges.select("dst")).distinct()
     nodes = ends.join(hosts, "host", "full_outer").fillna(0)
@@ -92,21 +108,22 @@ def host_verdicts(hosts: DataFrame, edges: DataFrame, threshold: float = 0.5) ->
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
     along = flow(edges, start.select("host", "good", "any"), ["good", "any"])
     against = flow(back, start.select("host", "bad", F.col("any").alias("any_back")), ["bad", "any_back"])
-    both = nodes.select("host").join(along, "host", "left").join(against, "host", "left").fillna(0)
-    scale = lambda seeds: (row[seeds] / row["_n_pages"])
-    trust = F.coalesce(F.try_divide("good", "any"), F.lit(0.0)) * scale("_n_allowed")
-    distrust = F.coalesce(F.try_divide("bad", "any_back"), F.lit(0.0)) * scale("_n_blocked")
+    both = nodes.select("host").join(along, "host", "left").join(against, "host", "left").fillna(0.0)
+    trust = F.coalesce(F.try_divide("good", "any"), F.lit(0.0))
+    distrust = F.coalesce(F.try_divide("bad", "any_back"), F.lit(0.0))
     out = both.select("host", trust.alias("trust"), distrust.alias("distrust"))
-    return out.withColumn("verdict", F.when(F.col("distrust") - F.col("trust") > threshold, "block").otherwise("allow"))
+    outweighs = F.col("distrust") - F.col("trust") > threshold * (F.col("distrust") + F.col("trust"))
+    return out.withColumn("verdict", F.when(outweighs & (F.col("distrust") > least), "block").otherwise("allow"))
 
 
-def judge_urls(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url: str = "url", html: str = "html", threshold: float = 0.5) -> DataFrame:
+def judge_urls(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url: str = "url", html: str = "html", threshold: float = 0.2, least: float = 0.85) -> DataFrame:
     """Each page's ``host, path, rule, verdict`` and its host's trust and distrust.
 
     A rule decides where one fits, else the host's verdict. A null url has an
     empty host and path, fits no rule and is allowed; repeated rows are judged
     one by one; an empty table gives an empty result; columns named like a
-    result are replaced. Link lists and html are read once for the edges.
+    result are dropped with all others but the id. Html is read once for the
+    edges; a page of any length gives its links, equal links add up.
     """
     host, path = host_and_path(F.col(url))
     parsed = pages.withColumns({"host": host, "path": path})
@@ -115,6 +132,6 @@ def judge_urls(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url
     counts = judged.filter("host != ''").groupBy("host").agg(
         F.count_if(F.col("_hit.verdict") == "allow").alias("n_allowed"), F.count_if(F.col("_hit.verdict") == "block").alias("n_blocked"), F.count("*").alias("n_pages"))
     edges = settle(page_edges(parsed, "host", html))
-    by_host = host_verdicts(counts, edges, threshold)
+    by_host = host_verdicts(counts, edges, threshold, least)
     joined = judged.join(by_host.withColumnRenamed("verdict", "_method"), "host", "left")
     return joined.select(id_col, "host", "path", F.col("_hit.rule").alias("rule"), F.coalesce("_hit.verdict", "_method", F.lit("allow")).alias("verdict"), "trust", "distrust")

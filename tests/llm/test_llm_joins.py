@@ -58,6 +58,53 @@ def test_trust_and_distrust_flow(spark):
     assert [got[i].verdict for i in (5, 6, 7)] == ["allow"] * 3 and got[5].trust > 0
 
 
+def dense_rank(edges, start, n):
+    """Shares of personalised PageRank, by solving its linear system."""
+    out = np.zeros((n, n))
+    for a, b, w in edges:
+        out[b, a] += w
+    sums = out.sum(0)
+    step = np.divide(out, sums, out=np.zeros_like(out), where=sums > 0)
+    rank = np.linalg.solve(np.eye(n) - 0.85 * step, 0.15 * start / max(start.sum(), 1))
+    return rank / max(rank.sum(), 1e-300)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_host_masses_match_a_dense_solution(spark, seed):
+    rng = np.random.default_rng(seed)
+    n = 12
+    edges = [(int(a), int(b), int(rng.integers(1, 5))) for a, b in rng.integers(0, n - 2, (30, 2)) if a != b]  # two hosts have no edge
+    edges = [(a, b, sum(w for x, y, w in edges if (x, y) == (a, b))) for a, b in {(a, b) for a, b, _ in edges}]
+    pages = rng.integers(1, 9, n)
+    allowed, blocked = (np.where(rng.random(n) < 0.3, pages, 0) for _ in range(2))
+    name = lambda i: f"h{i}.org"
+    hosts_df = spark.createDataFrame([(name(i), int(allowed[i]), int(blocked[i]), int(pages[i])) for i in range(n)], "host string, n_allowed long, n_blocked long, n_pages long")
+    edges_df = spark.createDataFrame([(name(a), name(b), w) for a, b, w in edges], "src string, dst string, weight long")
+    got = {r.host: r for r in hosts.host_verdicts(hosts_df, edges_df).collect()}
+    back = [(b, a, w) for a, b, w in edges]
+    good, bad = dense_rank(edges, allowed.astype(float), n), dense_rank(back, blocked.astype(float), n)
+    trust, distrust = good / dense_rank(edges, pages.astype(float), n), bad / dense_rank(back, pages.astype(float), n)
+    for i in range(n):
+        r = got[name(i)]
+        assert (r.trust, r.distrust) == (pytest.approx(trust[i], abs=5e-3), pytest.approx(distrust[i], abs=5e-3))
+        block = distrust[i] - trust[i] > 0.2 * (distrust[i] + trust[i]) and distrust[i] > 0.85
+        assert r.verdict == ("block" if block else "allow") or abs(distrust[i] - 0.85) < 5e-3
+    assert {r.verdict for r in got.values()} == {"allow", "block"} or not blocked.any()
+
+
+def test_pages_with_odd_html_and_hosts(spark):
+    """Null hosts give no edge; a very long page gives all its links, once each
+    place; clashing columns don't matter."""
+    long = "<p>" * 50_000 + "".join(f'<a href="http://t{i % 50}.org/">' for i in range(20_000))
+    rows = [(1, "http://a.org/", long, "x", "y"), (2, None, '<a href="http://b.org/">', "x", "y"), (3, "http://a.org/", "<a href=http://T0.ORG:80/q>", "x", "y"), (4, "http://t1.org/", None, "x", "y"), (4, "http://t1.org/", None, "x", "y")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, trust string, host string")
+    parsed = pages.withColumn("host", hosts.host_and_path(F.col("url"))[0])
+    edges = {(r.src, r.dst): r.weight for r in hosts.page_edges(parsed).collect()}
+    assert edges["a.org", "t7.org"] == 400 and len(edges) == 51 and all(src == "a.org" for src, _ in edges)
+    got = hosts.judge_urls(pages, URL_RULES).collect()
+    assert sorted(r.page_id for r in got) == [1, 2, 3, 4, 4] and all(r.verdict == "allow" for r in got)
+
+
 # ---- 2 ----------------------------------------------------------------------
 
 def brute_turns(rows):
