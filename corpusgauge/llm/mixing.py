@@ -99,6 +99,25 @@ def mix_sources(
     return take(sized, id_col, source, share, cycle, max_epochs)
 
 
+#: Goals of up to so many sources are sent to all tasks.
+FEW_SOURCES = 1 << 16
+
+
+def with_goal(sized: DataFrame, goal: DataFrame, source: str, few: int = FEW_SOURCES, salts: int = 64) -> DataFrame:
+    """Each document with its source's row of ``goal`` (``_source``, ...).
+
+    Few sources are broadcast; where there are more, every source's row goes to
+    ``salts`` tasks and its documents are dealt over them, so no source is whole
+    in one task.
+    """
+    same = F.col(source).eqNullSafe(F.col("_source"))
+    if goal.count() <= few:
+        return sized.join(F.broadcast(goal), same, "left").drop("_source")
+    dealt = sized.withColumn("_salt", F.pmod(F.xxhash64("_key", "_tie"), F.lit(salts)).cast("int"))
+    copies = goal.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return dealt.join(copies, same & (F.col("_salt") == F.col("_copy")), "left").drop("_source", "_salt", "_copy")
+
+
 def take(sized: DataFrame, id_col: str, source: str, share: float, cycle: tuple[float, ...], max_epochs: int) -> DataFrame:
     by_bucket = sized.groupBy(source, "_bucket").agg(F.sum("size").alias("_in"))
     goal = targets(by_bucket.groupBy(source).agg(F.sum("_in").alias("source_size")), source, share, cycle, max_epochs)
@@ -111,7 +130,7 @@ def take(sized: DataFrame, id_col: str, source: str, share: float, cycle: tuple[
     # the bucket in which the rest ends, or none if all enter
     ends = cuts.filter((F.col("_before") + F.col("_in")) > F.col("_rest")).groupBy(source).agg(F.min(F.struct("_bucket", "_before")).alias("_cut"))
     goal = renamed.join(ends.withColumnRenamed(source, "_source2"), F.col("_source").eqNullSafe(F.col("_source2")), "left").drop("_source2")
-    joined = sized.join(goal, F.col(source).eqNullSafe(F.col("_source")), "left").drop("_source")
+    joined = with_goal(sized, settle(goal), source)
     here = F.col("_bucket") == F.col("_cut._bucket")
     at = Window.partitionBy(source, "_bucket").orderBy("_key", id_col, "size", "_tie").rowsBetween(Window.unboundedPreceding, -1)
     whole = joined.filter(~F.coalesce(here, F.lit(False))).withColumn("_in_rest", F.col("_cut").isNull() | (F.col("_bucket") < F.col("_cut._bucket")))

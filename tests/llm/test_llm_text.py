@@ -258,6 +258,15 @@ def test_mixing_targets_and_fill(spark):
     assert mixing.mix_sources(docs_of(spark, [])).count() == 0
 
 
+def test_mixing_salts_sources_where_there_are_many(spark):
+    rows = [(i, "w " * (i % 7), "en", None if i % 5 == 0 else f"s{i % 3}") for i in range(90)]
+    sized = docs_of(spark, rows).withColumns({"_key": F.rand(1), "_tie": F.xxhash64("text")})
+    goal = spark.createDataFrame([(None, 1.0), ("s0", 2.0), ("s1", 3.0)], "_source string, target double")
+    few, many = (sorted((r.doc_id, r.target) for r in mixing.with_goal(sized, goal, "source", few=n).collect()) for n in (10, 0))
+    want = {None: 1.0, "s0": 2.0, "s1": 3.0, "s2": None}
+    assert few == many == [(i, want[r[3]]) for i, r in enumerate(rows)]
+
+
 def test_mixing_prefers_quality(spark):
     rng = random.Random(5)
     rows = [(i, clean(rng, 20) + (" ####" * 20 if i % 2 else ""), "en", "ab"[i % 4 // 2]) for i in range(2000)]
