@@ -12,7 +12,7 @@ from corpusgauge.plans import inputs
 from corpusgauge.queries.events import ONCE, VALID
 from corpusgauge.streaming import events as ev
 from corpusgauge.streaming import feed, sinks, stateful
-from corpusgauge.streaming.store import BatchLog
+from corpusgauge.streaming.store import BatchLog, KeyedState
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -130,6 +130,38 @@ def f19_stream_sessions(spark: SparkSession, events: DataFrame) -> DataFrame:
     return out.select("record_id", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "n")
 
 
+CLOSED = f"time_bucket(INTERVAL '5 minutes', event_ts) + INTERVAL 5 MINUTE <= (SELECT max(event_ts) FROM {ONCE}) - INTERVAL {DAYS} DAY"
+
+
+@query(f"SELECT CAST(epoch(time_bucket(INTERVAL '5 minutes', event_ts)) AS BIGINT) AS start, status, count(*) AS n, round(avg(latency_ms), 5) AS mean FROM {ONCE} WHERE {CLOSED} GROUP BY ALL")
+def f13_stream_monitor(spark: SparkSession, events: DataFrame) -> DataFrame:
+    """Windows that the watermark (F9) has closed, late events within its delay
+    included; each window comes out once, over four starts."""
+    late = F.when(F.col("event_id") % 7 == 3, F.least(F.col("part") + 1, F.lit(PARTS - 1))).otherwise(F.col("part"))
+
+    def run(stream: DataFrame, root: str) -> object:
+        made = ev.monitor(stream, delay=f"{DAYS} days").select("start", "status", "n", "mean")
+        return stateful.append_files(made, f"{root}/out", f"{root}/checkpoint")
+
+    root, _ = feed.in_parts(events.withColumn("part", late).select("event_id", "status", "event_ts", "latency_ms", "part"), PARTS, run)
+    out = spark.read.schema("start timestamp, status string, n long, mean double").parquet(f"{root}/out")
+    return out.select(F.unix_seconds("start").alias("start"), "status", "n", F.round("mean", 5).alias("mean"))
+
+
+@query(f"SELECT status, count(*) AS n FROM {ONCE} WHERE status IS NOT NULL GROUP BY status")
+def f15_stream_running_counts(spark: SparkSession, events: DataFrame) -> DataFrame:
+    """Running counts in update mode, upserted with each micro-batch."""
+    state_of = lambda root: KeyedState(spark, f"{root}/counts", "status string, n long", ("status",), every=3)
+
+    def run(stream: DataFrame, root: str) -> object:
+        state = state_of(root)
+        return sinks.run_to_end(ev.status_counts(ev.once(stream)), state.upsert, f"{root}/checkpoint", "update")
+
+    root, _ = feed.in_parts(redelivered(events), PARTS, run)
+    state = state_of(root)
+    return state.state((state.read().agg(F.max("batch")).first()[0] or 0) + 1)
+
+
 @query(f"""SELECT status, delivered, once AS distinct_events, direct, direct - once AS lost, delivered - once AS redelivered,
   CASE WHEN direct <> once AND delivered <> once THEN 'LOSS AND REDELIVERY' WHEN direct > once THEN 'LOSS' WHEN direct < once THEN 'UNKNOWN EVENTS' WHEN delivered > once THEN 'REDELIVERY' ELSE 'OK' END AS verdict
 FROM (SELECT status, count(*) FILTER (event_id % 97 <> 0 OR status <> 'failed') AS once, count(*) AS direct,
