@@ -61,7 +61,30 @@ def test_empty_documents_pass_all_stages(spark, tables, tmp_path):
     assert docs.count() == 0
 
 
+def test_odd_documents_pass_all_stages(spark, tables, tmp_path):
+    """Null and repeated ids, clashing columns, a very long text; no labels and
+    no benchmark items: nothing crashes and clean documents stay."""
+    rng = random.Random(2)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(3, 9))) for _ in range(n))
+    long, twice = prose(60_000), prose(40)
+    rows = [(None, prose(30)), (None, prose(30)), (7, twice), (7, twice), (7, prose(50)), (8, None), (9, ""), (10, " \n\t"), (11, long), (None, None), (12, "Ünï " * 30), (13, "one two")]
+    docs = spark.createDataFrame([(i, t, None if k % 3 else "en", None if k % 2 else "s", None, "clash", 0.5, 1) for k, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long, cls string, score double, n_hit int")
+    folder = str(tmp_path)
+    spark.read.parquet(f"{tables}/labels.parquet").limit(0).write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(1, None), (2, ""), (None, " . ")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    kept = []
+    for name, stage in corpus_pipeline.STAGES:
+        docs = corpus_pipeline.settle(stage(spark, docs, folder))
+        kept.append(docs.collect())
+        if name != corpus_pipeline.STAGES[-1][0]:
+            assert docs.columns == corpus_pipeline.COLUMNS, name
+    sizes = [len(k) for k in kept]
+    # one of the two equal rows goes, and nothing else
+    assert sizes == [12, 12, 11, 11, 11] and sorted(r.text or "" for r in kept[3]) == sorted([t or "" for k, (_, t) in enumerate(rows) if k != 3])
+    assert {r.doc_id: r["size"] for r in kept[4]}[11] == 60_000
+
+
 def test_queries_are_registered():
     names = entry.queries()
-    assert {f"op{n}_" for n in range(1, 11)} <= {n.split("_")[0] + "_" for n in names}
+    assert {f"op{n}_" for n in range(1, 14)} <= {n.split("_")[0] + "_" for n in names}
     assert "pipeline" in names and set(registry.oracle_sql()) <= set(names)
