@@ -290,9 +290,12 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least:
     three = three.withColumns({"l": F.when(one, F.col("f1")).otherwise(F.col("f12")), "r": F.when(one, F.col("f23")).otherwise(F.col("f3")), "score": F.least("_1", "_2")})
 
     columns = ["lang", "c1", "c2", "c3", "a", "l", "r", "score"]
+    scored = settle(two.select(*columns).unionByName(three.select(*columns)))
+    # score and count of each language's last place; all phrases that tie with it stay until their words are known
     best = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"))
-    # ties with the last place stay until their words are known
-    near = settle(two.select(*columns).unionByName(three.select(*columns)).withColumn("_rank", F.rank().over(best)).filter(F.col("_rank") <= top).drop("_rank"))
+    last = scored.select("lang", "score", "a").withColumn("_rank", F.row_number().over(best)).filter(F.col("_rank") <= top)
+    last = last.groupBy("lang").agg(F.count("*").alias("_n"), F.min(F.struct("score", "a")).alias("_last"))
+    near = scored.join(last, "lang").filter((F.col("_n") < top) | (F.struct("score", "a") >= F.col("_last"))).drop("_n", "_last")
     for k in range(1, DEPTH + 1):
         near = near.join(vocabulary.select(F.col("code").alias(f"c{k}"), F.col("word").alias(f"w{k}")), f"c{k}", "left")
     spelt = near.withColumn("phrase", F.concat_ws(" ", "w1", "w2", "w3")).join(totals, "lang")
