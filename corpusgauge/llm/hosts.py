@@ -59,14 +59,13 @@ def page_edges(pages: DataFrame, host: str = "host", html: str = "html") -> Data
     return linked.unionByName(up).unionByName(down).groupBy("src", "dst").agg(F.count("*").alias("weight"))
 
 
-def flow(edges: DataFrame, start: DataFrame, mass: list[str], damping_percent: int = 85, residual: float = 1e-4, max_rounds: int = 80) -> DataFrame:
-    """Personalised PageRank of several masses at once, along ``edges``, as
-    shares of each mass that add up to 1.
-
-    ``start``: host and one starting mass each, in integer parts that add up to
-    about ``UNIT``. Rounds go on until a step moves less than ``residual`` of a
-    mass. A host without outgoing edges gives its mass back to the start: that
-    is the same as leaving it out and scaling the result.
+def flow(edges: DataFrame, start: DataFrame, mass: list[str], damping_percent: int = 85, residual: float = 5e-3, max_rounds: int = 60) -> DataFrame:
+    """Personalised PageRank of several masses at once, along ``edges``.
+
+    ``start``: host and one starting mass each, in integer parts of ``UNIT``.
+    Rounds go on until a step moves less than ``residual`` of a mass. The mass of
+    a host without outgoing edges is lost; scaling the result to 1 is the same as
+    giving it back to the start.
     """
     out = edges.groupBy("src").agg(F.sum("weight").alias("_all"))
     shares = settle(edges.join(out, "src"))
@@ -85,8 +84,7 @@ def flow(edges: DataFrame, start: DataFrame, mass: list[str], damping_percent: i
             moves = both.agg(*[F.sum(F.abs(F.col(m) - F.col(f"_{m}"))).alias(m) for m in mass]).first()
             if all((moves[m] or 0) <= residual * UNIT for m in mass):
                 break
-    totals = rank.agg(*[F.greatest(F.sum(m), F.lit(1)).alias(m) for m in mass]).first()
-    return rank.select("host", *[(F.col(m) / (totals[m] or 1)).alias(m) for m in mass])
+    return rank
 
 
 def host_verdicts(hosts: DataFrame, edges: DataFrame, threshold: float = 0.2, least: float = 0.85) -> DataFrame:
@@ -104,11 +102,19 @@ def host_verdicts(hosts: DataFrame, edges: DataFrame, threshold: float = 0.2, le
     totals = nodes.agg(*[F.greatest(F.sum(c), F.lit(1)).alias(f"_{c}") for c in ("n_allowed", "n_blocked", "n_pages")])
     row = totals.collect()[0]
     part = lambda c: F.floor(F.col(c) / row[f"_{c}"] * UNIT).cast("long")
-    start = settle(nodes.select("host", part("n_allowed").alias("good"), part("n_blocked").alias("bad"), part("n_pages").alias("any")))
-    back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
-    along = flow(edges, start.select("host", "good", "any"), ["good", "any"])
-    against = flow(back, start.select("host", "bad", F.col("any").alias("any_back")), ["bad", "any_back"])
-    both = nodes.select("host").join(along, "host", "left").join(against, "host", "left").fillna(0.0)
+    # both directions in one run: hosts marked > along the links, < against them
+    mark = lambda way, c: F.concat(F.lit(way), F.col(c))
+    start = settle(nodes.select(mark(">", "host").alias("host"), part("n_allowed").alias("seeded"), part("n_pages").alias("any"))
+                   .unionByName(nodes.select(mark("<", "host").alias("host"), part("n_blocked").alias("seeded"), part("n_pages").alias("any"))))
+    ways = edges.select(mark(">", "src").alias("src"), mark(">", "dst").alias("dst"), "weight").unionByName(edges.select(mark("<", "dst").alias("src"), mark("<", "src").alias("dst"), "weight"))
+    rank = settle(flow(ways, start, ["seeded", "any"])).withColumns({"_way": F.substring("host", 1, 1), "_host": F.substring("host", 2, 2**31 - 1)})
+    sums = {r["_way"]: r for r in rank.groupBy("_way").agg(F.sum("seeded").alias("seeded"), F.sum("any").alias("any")).collect()}  # two rows
+
+    def shares(way: str, seeded: str, own: str) -> DataFrame:
+        of = lambda m: F.col(m) / (max(sums[way][m], 1) if way in sums else 1)
+        return rank.filter(F.col("_way") == way).select(F.col("_host").alias("host"), of("seeded").alias(seeded), of("any").alias(own))
+
+    both = nodes.select("host").join(shares(">", "good", "any"), "host", "left").join(shares("<", "bad", "any_back"), "host", "left").fillna(0.0)
     trust = F.coalesce(F.try_divide("good", "any"), F.lit(0.0))
     distrust = F.coalesce(F.try_divide("bad", "any_back"), F.lit(0.0))
     out = both.select("host", trust.alias("trust"), distrust.alias("distrust"))
