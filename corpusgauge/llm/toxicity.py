@@ -19,6 +19,7 @@ arrays as a broadcast of fixed size.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -114,20 +115,24 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
     """
     sample = labelled_sample(docs.select(id_col, text), labels.select(id_col, label), id_col, text, label, max_rows, max_bytes, seed)
     got = packed_terms(sample, text).toArrow()
-    rows = [np.frombuffer(x, np.int32) for x in got.column("slots").to_pylist()]
+    # views of the Arrow buffers: the sample is held once
+    rows = [np.frombuffer(x.as_buffer(), np.int32) if x.as_buffer().size else np.zeros(0, np.int32) for x in got.column("slots")]
     y = (got.column("label").to_numpy() > 0).astype(np.float32)
-    # the order of rows is the sample's content, not that of the partitions
-    order = sorted(range(len(rows)), key=lambda i: (rows[i].tobytes(), y[i]))
+    # the order of rows is by the sample's content, not that of the partitions
+    order = sorted(range(len(rows)), key=lambda i: (hashlib.blake2b(rows[i]).digest(), y[i]))
     return train([rows[i] for i in order], y[order], n_factors, seed)
 
 
-def evidence(row: np.ndarray, slot: np.ndarray, y: np.ndarray, size: int) -> np.ndarray:
+def evidence(rows: list[np.ndarray], y: np.ndarray, size: int) -> np.ndarray:
     """Value of each slot: the squared difference of its share among toxic and
     other rows in standard errors (hundredths, bounded), and a little by how many
     toxic rows have it, for pairs of which neither term tells by itself."""
     share = y.mean()
-    with_term = np.bincount(slot, minlength=size)
-    toxic_with = np.bincount(slot, y[row], size)
+    with_term, toxic_with = np.zeros(size), np.zeros(size)
+    for row, toxic in zip(rows, y, strict=True):  # a slot is in a row once
+        with_term[row] += 1
+        if toxic:
+            toxic_with[row] += 1
     z = np.abs(toxic_with - with_term * share) / np.sqrt(with_term * share * (1 - share) + 1.0)
     return (np.minimum(z / 10, 1.5) ** 2 + 0.3 * np.sqrt(toxic_with / max(y.sum(), 1))).astype(np.float32)
 
@@ -138,17 +143,15 @@ def train(rows: list[np.ndarray], y: np.ndarray, n_factors: int = 4, seed: int =
     if not 0 < pos < n:
         share = min(max(pos / n if n else 0.0, 1e-6), 1 - 1e-6)
         return Machine(np.zeros(size, np.float32), float(np.log(share / (1 - share))), np.zeros(size, np.float32), np.zeros((size, n_factors), np.float32))
-    ends = np.r_[0, np.cumsum([len(r) for r in rows])]
-    every, slot = np.repeat(np.arange(n), np.diff(ends)), np.concatenate(rows).astype(np.int64)
-    values = evidence(every, slot, y, size)
+    values = evidence(rows, y, size)
     rng = np.random.default_rng(seed)
     params = np.zeros((size, 1 + n_factors), np.float32)
     params[:, 1:] = rng.normal(0, 0.02, (size, n_factors))
     squares, bias, bias_square = np.full_like(params, 1e-4), np.log(pos / (n - pos)), 1e-4
     for _ in range(int(min(max(30_000 // n, 3), 60))):
         for part in np.array_split(rng.permutation(n), max(1, n // batch)):
-            who = np.repeat(np.arange(len(part)), ends[part + 1] - ends[part])
-            used, back = np.unique(np.concatenate([slot[ends[i] : ends[i + 1]] for i in part]), return_inverse=True)
+            who = np.repeat(np.arange(len(part)), [len(rows[i]) for i in part])
+            used, back = np.unique(np.concatenate([rows[i] for i in part]), return_inverse=True)
             x = values[used][back]
             p = (params[used] * values[used][:, None])[back]
             raw, sums = raw_scores(p, who, len(part), bias)
