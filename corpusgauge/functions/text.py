@@ -183,10 +183,14 @@ FORMATS = ("has_json", "json_valid", "has_code", "code_valid", "has_list", "has_
 
 
 def format_flags(text: Column, parse_code: bool = False) -> dict[str, Column]:
-    """Which formats a text shows, and whether JSON and code are well formed."""
+    """Which formats a text shows, and whether JSON and code are well formed.
+
+    Where code is parsed, its keywords are words of their own; else their letters
+    count anywhere, so that a digest that ends in ``def`` shows code.
+    """
     x = F.coalesce(text, F.lit(""))
     has_json = x.contains("{") | x.contains("[")
-    has_code = x.contains("```") | x.contains("def ") | x.contains("function ")
+    has_code = x.rlike(r"```|\b(?:def|function) ") if parse_code else x.contains("```") | x.contains("def ") | x.contains("function ")
     return {
         "has_json": has_json,
         "json_valid": has_json & holds_json(x),
