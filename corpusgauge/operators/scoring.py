@@ -160,8 +160,8 @@ def score_v2(df: DataFrame, instruction: str = "input", student: str = "student_
 
     Missing texts count as empty. ``success`` is the threshold rule; ``details``
     holds what the scores were made of; ``overall_60_40`` is the weighted form.
-    With ``parse_code`` Python code is parsed in Arrow batches, else its
-    brackets are matched.
+    With ``parse_code`` Python code is parsed in Arrow batches and its keywords
+    are whole words, else its brackets are matched.
     """
     i, s, t, c = texts_of(instruction, student, teacher, context)
     df = with_own(with_shared(df, i, t, c), s, suffix, parse_code)
@@ -177,7 +177,8 @@ def judged(df: DataFrame, i: Column, s: Column, t: Column, c: Column, task: Colu
     col = lambda name: F.col(name + suffix if name + suffix in own else name)
     words = col("_words")
 
-    code = F.when(col("_has_code"), F.when(col("_code_valid"), 1.0).otherwise(0.5)).when(s.rlike("def |class |function |=>|return "), F.when(tx.code_valid(s, parse_code), 1.0).otherwise(0.3)).otherwise(0.2)
+    hint = r"\b(?:def|class|function|return) |=>" if parse_code else "def |class |function |=>|return "
+    code = F.when(col("_has_code"), F.when(col("_code_valid"), 1.0).otherwise(0.5)).when(s.rlike(hint), F.when(tx.code_valid(s, parse_code), 1.0).otherwise(0.3)).otherwise(0.2)
     shape = F.lit(0.5) + F.when(col("_has_list"), 0.15).otherwise(0.0) + F.when(col("_has_headers"), 0.15).otherwise(0.0) + F.when(col("_json_valid"), 0.2).otherwise(0.0)
     structured = F.when(task == "technical_code", code).otherwise(F.least(F.lit(1.0), shape))
 
