@@ -82,9 +82,16 @@ def word_count(text: Column) -> Column:
 
 
 def elements(content: Column) -> Column:
-    """Distinct content tokens and pairs of neighbours, joined by ``_``."""
-    pairs = F.transform(content, lambda t, i: F.concat(t, F.lit("_"), F.get(content, i + 1)))
-    return F.array_distinct(F.concat(content, F.filter(pairs, lambda p: p.isNotNull())))
+    """Distinct content tokens and pairs of neighbours, joined by ``_``.
+
+    The tokens are bound, else each pair would make all of them anew.
+    """
+
+    def joined(a: Column) -> Column:
+        pairs = F.transform(a, lambda t, i: F.concat(t, F.lit("_"), F.get(a, i + 1)))
+        return F.array_distinct(F.concat(a, F.filter(pairs, lambda p: p.isNotNull())))
+
+    return bind(content, joined)
 
 
 def flatten_context(parts: Column) -> Column:
