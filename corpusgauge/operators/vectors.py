@@ -1,28 +1,36 @@
 """Term-frequency vectors as rows, and what is computed from them by grouping.
 
 The row-by-row form (``scoring.overlaps``) holds all tokens of a record in one
-array; here a token of a record is a row, so a record of any length spreads over
-tasks: counts are taken by (id, token), then summed by id after partial sums.
+array; here a token of a record is a row. Records are dealt by id before their
+texts become rows, as a text is much smaller than its rows are: tokens are
+counted, weighed and summed where their record is, and nothing but records is
+shuffled. Counts of one id are a hash table of its distinct tokens, which spills.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusgauge.session import input_bytes
+
+#: Bytes of input files for each task: texts grow to about 50 times their bytes as counted rows.
+TASK_BYTES = 8 << 20
+
 
 def term_rows(df: DataFrame, id_col: str, texts: dict[str, Column]) -> DataFrame:
     """``id, role, token, tf``: how often a role's text has a token. ``texts``
     gives an array of tokens for each role; empty and null ones have no rows."""
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-input_bytes(df) // TASK_BYTES))
     roles = F.array(*[F.struct(F.lit(r).alias("role"), c.alias("tokens")) for r, c in texts.items()])
-    long = df.select(F.col(id_col).alias("id"), F.explode(roles).alias("_t")).select("id", "_t.role", F.explode("_t.tokens").alias("token"))
+    long = df.repartition(tasks, id_col).select(F.col(id_col).alias("id"), F.explode(roles).alias("_t")).select("id", "_t.role", F.explode("_t.tokens").alias("token"))
     return long.groupBy("id", "role", "token").agg(F.count("*").alias("tf"))
 
 
 def unit_vectors(terms: DataFrame) -> DataFrame:
     """``terms`` with ``weight``: tf divided by the vector's length."""
-    norms = terms.groupBy("id", "role").agg(F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias("_norm"))
-    return terms.join(norms, ["id", "role"]).withColumn("weight", F.col("tf") / F.col("_norm")).drop("_norm")
+    norm = F.sqrt(F.sum(F.col("tf") * F.col("tf")).over(Window.partitionBy("id", "role")))
+    return terms.withColumn("weight", F.col("tf") / norm)
 
 
 def relational_overlaps(terms: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:

@@ -70,5 +70,13 @@ def spread(df: DataFrame, below: int = 64 << 20) -> DataFrame:
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < below else df
 
 
+def input_bytes(df: DataFrame) -> int:
+    """Bytes of the tables that ``df`` is made from, as Spark estimates them;
+    tables of unknown size, which Spark takes for endless, don't count."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return sum(s for s in sizes if s < 1 << 60)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
