@@ -1,9 +1,10 @@
 """Scores of answers: two profiles of text metrics, row by row, no shuffle.
 
-All counts that the metrics need come from one sorted array per row: the tokens
-of all texts with the text they are from. Runs of equal entries give term
-counts; looking back over at most (number of texts - 1) runs finds the same
-token in another text. That takes n log n steps a row and no exchange.
+All counts that the metrics need come from sorted arrays: runs of equal tokens
+give a text's term counts, and the runs of all texts are sorted together. Looking
+back over at most (number of texts - 1) runs finds the same token in another
+text, only where the run before has that token. That takes n log n steps a row
+and no exchange.
 """
 
 from __future__ import annotations
@@ -24,50 +25,54 @@ def overlaps(texts: list[Column], pairs: list[tuple[int, int]]) -> Column:
     the smaller counts ``m``.
     """
 
-    def tag(i: int):
-        return lambda t: F.struct(t.alias("t"), F.lit(i).alias("r"))
+    def starts(a: Column) -> Column:
+        at = F.when(F.size(a) > 0, F.sequence(F.lit(0), F.size(a) - 1)).otherwise(F.array().cast("array<int>"))
+        return F.filter(at, lambda k: (k == 0) | ~F.get(a, k).eqNullSafe(F.get(a, k - 1)))
 
-    ordered = F.sort_array(F.concat(*[F.transform(t, tag(i)) for i, t in enumerate(texts)]))
+    def runs(i: int, text: Column) -> Column:
+        def made(a: Column) -> Column:
+            return bind(starts(a), lambda s: F.transform(s, lambda k, j: F.struct(F.get(a, k).alias("t"), F.lit(i).alias("r"), (F.coalesce(F.get(s, j + 1), F.size(a)) - k).cast("long").alias("n"))))
 
-    def run_starts(a: Column) -> Column:
-        return F.filter(F.transform(a, lambda x, k: F.when((k == 0) | ~x.eqNullSafe(F.get(a, k - 1)), k)), lambda k: k.isNotNull())
-
-    def runs(a: Column, starts: Column) -> Column:
-        return F.transform(starts, lambda k, j: F.struct(F.get(a, k)["t"].alias("t"), F.get(a, k)["r"].alias("r"), (F.coalesce(F.get(starts, j + 1), F.size(a)) - k).cast("long").alias("n")))
+        return bind(F.sort_array(text), made)
 
     def total(values: Column) -> Column:
         return F.aggregate(values, F.lit(0).cast("long"), lambda acc, x: acc + x)
 
     def pair_counts(m: Column) -> Column:
-        dot, clipped = (total(F.transform(m, f)) for f in (lambda x: x["d"], lambda x: x["m"]))
+        dot, clipped = (total(F.transform(m, f)) for f in (lambda x: x["n"] * x["o"], lambda x: F.least(x["n"], x["o"])))
         return F.struct(dot.alias("d"), F.size(m).alias("s"), clipped.alias("m"))
 
-    def summary(r: Column) -> Column:
-        fields = []
-        for i in range(len(texts)):
-            own = F.filter(r, _is(i))
-            fields += [F.size(own).alias(f"n{i}"), total(F.transform(own, lambda x: x["n"] * x["n"])).alias(f"q{i}")]
-        for i, j in pairs:
-            match = F.filter(F.transform(r, _match(r, i, j)), lambda x: x.isNotNull())
-            fields.append(bind(match, pair_counts).alias(f"p{i}{j}"))
-        return F.struct(*fields)
+    def matches(r: Column, j: int) -> Column:
+        """For text j the counts of each token that another text has, and theirs."""
+        shared = F.filter(F.when(F.size(r) > 0, F.sequence(F.lit(0), F.size(r) - 1)).otherwise(F.array().cast("array<int>")), lambda k: (F.get(r, k)["r"] == j) & (k > 0) & (F.get(r, k - 1)["t"] == F.get(r, k)["t"]))
+        before = [i for i, to in pairs if to == j]
+
+        def own(k: Column) -> Column:
+            other = lambda i: F.coalesce(*[F.when((F.get(r, k - d)["r"] == i) & (F.get(r, k - d)["t"] == F.get(r, k)["t"]), F.get(r, k - d)["n"]) for d in range(1, j - i + 1)])
+            return F.struct(F.get(r, k)["n"].alias("n"), *[other(i).alias(f"o{i}") for i in before])
 
-    return bind(ordered, lambda a: bind(run_starts(a), lambda s: bind(runs(a, s), summary)))
+        return F.transform(shared, own)
 
+    def counted(j: int):
+        return lambda m: F.struct(*[bind(_known(m, i), pair_counts).alias(f"p{i}{j}") for i, to in pairs if to == j])
+
+    def summary(u: Column) -> Column:
+        fields = []
+        for i in range(len(texts)):
+            fields += [F.size(u[f"u{i}"]).alias(f"n{i}"), total(F.transform(u[f"u{i}"], lambda x: x["n"] * x["n"])).alias(f"q{i}")]
 
-def _is(i: int):
-    return lambda x: x["r"] == i
+        def paired(r: Column) -> Column:
+            return F.struct(*[bind(matches(r, j), counted(j)).alias(f"j{j}") for j in dict.fromkeys(j for _, j in pairs)])
 
+        both = bind(F.sort_array(F.concat(*[u[f"u{i}"] for i in range(len(texts))])), paired)
+        return bind(both, lambda b: F.struct(*fields, *[b[f"j{j}"][f"p{i}{j}"].alias(f"p{i}{j}") for i, j in pairs]))
 
-def _match(r: Column, i: int, j: int):
-    """Product and minimum of the counts where text j has a token of text i."""
+    return bind(F.struct(*[runs(i, t).alias(f"u{i}") for i, t in enumerate(texts)]), summary)
 
-    def product(x: Column, k: Column) -> Column:
-        back = [F.when((F.get(r, k - d)["r"] == i) & (F.get(r, k - d)["t"] == x["t"]), F.get(r, k - d)["n"]) for d in range(1, j - i + 1)]
-        other = F.coalesce(*back)
-        return F.when((x["r"] == j) & other.isNotNull(), F.struct((other * x["n"]).alias("d"), F.least(other, x["n"]).alias("m")))
 
-    return product
+def _known(m: Column, i: int) -> Column:
+    """The matches that text i has, with its count as ``o``."""
+    return F.filter(F.transform(m, lambda x: F.struct(x["n"].alias("n"), x[f"o{i}"].alias("o"))), lambda x: x["o"].isNotNull())
 
 
 def cosine(o: Column, i: int, j: int) -> Column:
