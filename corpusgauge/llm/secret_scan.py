@@ -59,9 +59,14 @@ Span = tuple[int, int, str]
 
 def base_spans(text: str) -> list[Span]:
     """Spans (start, end, kind) of all patterns by start, then kind."""
+    return [m[:3] for m in base_matches(text)]
+
+
+def base_matches(text: str) -> list[tuple[int, int, str, tuple[int, int]]]:
+    """``base_spans``, each with the span of its value."""
     found = []
     for kind, (pattern, group, least) in BASE.items():
-        found += [(m.start(), m.end(), kind) for m in pattern.finditer(text) if m.end(group) - m.start(group) >= least]
+        found += [(m.start(), m.end(), kind, m.span(group)) for m in pattern.finditer(text) if m.end(group) - m.start(group) >= least]
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
@@ -137,7 +142,7 @@ class Network:
     def responses(self, x: np.ndarray) -> np.ndarray:
         made = np.broadcast_to(self.bias, (len(x), WINDOW - WIDTH + 1, len(self.bias))).copy()
         for o in range(WIDTH):
-            made += self.kernel[o][x[:, o : WINDOW - WIDTH + 1 + o]]
+            made += np.take(self.kernel[o], x[:, o : WINDOW - WIDTH + 1 + o], 0)
         return np.maximum(made, 0)
 
     def raw(self, x: np.ndarray) -> np.ndarray:
@@ -195,10 +200,12 @@ class Trainer:
         flow[rows, top, cols] += back[:, :filters]
         flow *= made > 0
         kernel = np.zeros_like(net.kernel)
-        flat = flow.reshape(-1)
+        flat = flow.reshape(-1, filters)
         for o in range(WIDTH):
-            cell = xb[:, o : n_at + o, None] * filters + np.arange(filters)
-            kernel[o] = np.bincount(cell.ravel(), flat, N_SYMBOLS * filters).reshape(N_SYMBOLS, filters)
+            symbol = xb[:, o : n_at + o].astype(np.uint8).ravel()
+            order = np.argsort(symbol, kind="stable")
+            first = np.flatnonzero(np.r_[True, symbol[order][1:] != symbol[order][:-1]])
+            kernel[o, symbol[order[first]]] = np.add.reduceat(np.take(flat, order, 0), first, 0)
         self.step += 1
         for q, g, (m, v) in zip(self.params, [kernel, flow.sum((0, 1)), pooled.T @ err, err.sum(keepdims=True)], self.moments, strict=True):
             m += 0.1 * (g - m)
@@ -264,9 +271,10 @@ def weak_findings(docs: DataFrame, text: str) -> DataFrame:
             for t in batch.column(0).to_pylist():
                 if not t:
                     continue
-                spans, spots = base_spans(t), candidates(t)
+                matches, spots = base_matches(t), candidates(t)
+                spans = [m[:3] for m in matches]
                 taken = overlaps(spots, spans)
-                sure = [m.span(2) for m in BASE["assign"][0].finditer(t) if m.end(2) - m.start(2) >= 12] + [(a, b) for a, b, k in spans if k == "access"]
+                sure = [m[3] for m in matches if m[2] == "assign"] + [m[3] for m in matches if m[2] == "access"]
                 unlike = [s for s, meets in zip(spots, taken, strict=True) if not meets]
                 unlike += [m.span() for m in RUN.finditer(t) if m[0].isalpha() and m[0][1:].islower()]
                 numbers = [(a, b, k) for a, b, k in spans if k == "hex" and t[a:b].isdecimal()]
