@@ -18,12 +18,14 @@ from corpusgauge.session import input_bytes
 TASK_BYTES = 8 << 20
 
 
-def term_rows(df: DataFrame, id_col: str, texts: dict[str, Column]) -> DataFrame:
+def term_rows(df: DataFrame, id_col: str, texts: dict[str, Column], dealt: bool = False) -> DataFrame:
     """``id, role, token, tf``: how often a role's text has a token. ``texts``
-    gives an array of tokens for each role; empty and null ones have no rows."""
-    tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-input_bytes(df) // TASK_BYTES))
+    gives an array of tokens for each role; empty and null ones have no rows.
+    Records that are ``dealt`` by id stay where they are."""
+    if not dealt:
+        df = df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-input_bytes(df) // TASK_BYTES)), id_col)
     roles = F.array(*[F.struct(F.lit(r).alias("role"), c.alias("tokens")) for r, c in texts.items()])
-    long = df.repartition(tasks, id_col).select(F.col(id_col).alias("id"), F.explode(roles).alias("_t")).select("id", "_t.role", F.explode("_t.tokens").alias("token"))
+    long = df.select(F.col(id_col).alias("id"), F.explode(roles).alias("_t")).select("id", "_t.role", F.explode("_t.tokens").alias("token"))
     return long.groupBy("id", "role", "token").agg(F.count("*").alias("tf"))
 
 

@@ -9,8 +9,9 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from corpusgauge.session import read_table, spread
+from corpusgauge.session import input_bytes, read_table, spread
 
 #: Question and answer records, two answers each, one per user turn.
 EVAL_RECORDS = """
@@ -128,6 +129,24 @@ def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(re.sub(r"\{(?![a-z]+\})", "{{", sql).replace('"}', '"}}'), **tables)
 
 
+def pairs_by_id(spark: SparkSession, sf_dir: str, task_bytes: int) -> DataFrame:
+    """The rows of ``doc_pairs``, dealt by id: a text is shuffled once for the
+    record that it is of and once for the record whose neighbour it is.
+
+    The join is the one of ``DOC_PAIRS``, turned round: a document looks for the
+    id that comes before its own. That is one id where none is negative;
+    otherwise the pairs are made as they stand there and dealt afterwards.
+    """
+    docs = read_table(spark, sf_dir, "documents")
+    low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
+    tasks = max(spark.sparkContext.defaultParallelism, -(-2 * input_bytes(docs) // task_bytes))
+    if low is None or low < 0:
+        return frame(spark, sf_dir, "doc_pairs").repartition(tasks, "id")
+    before = F.when(F.col("doc_id") == 0, F.lit(high)).otherwise(F.col("doc_id") - 1)
+    sql = DOC_PAIRS.replace("{documents} d\n", "{dealt} d\n").replace("{documents} e ON e.doc_id = (d.doc_id + 1) % (SELECT max(doc_id) + 1 FROM {documents})", "{mates} e ON e.before = d.doc_id")
+    return spark.sql(sql, dealt=docs.repartition(tasks, "doc_id"), mates=docs.withColumn("before", before).repartition(tasks, "before"), benchmark=read_table(spark, sf_dir, "benchmark"))
+
+
 def text(name: str) -> str:
     """The derived table as SQL over the given tables."""
     return re.sub(r"\{([a-z]+)\}", r"\1", INPUTS[name])

@@ -303,7 +303,8 @@ ROLES = {"q": "input", "t": "expected_output", "c": "context", "s": "actual_outp
 
 
 def doc_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vectors.term_rows(inputs.frame(spark, sf_dir, "doc_pairs"), "id", {r: tx.content_tokens(F.col(c)) for r, c in ROLES.items()})
+    pairs = inputs.pairs_by_id(spark, sf_dir, vectors.TASK_BYTES)
+    return vectors.term_rows(pairs, "id", {r: tx.content_tokens(F.col(c)) for r, c in ROLES.items()}, dealt=True)
 
 
 def g06_term_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
