@@ -224,7 +224,8 @@ def window_runs(texts: list[bytes], doc: np.ndarray, length: int) -> tuple[np.nd
     is_end[first + sizes] = True
     text[~is_end] = np.frombuffer(b"".join(texts), np.uint8).astype(np.int64) + 1
     sa = induced_sort(text)
-    whole = common_prefixes(text, sa, length, ends) >= length
+    # ends tell where a segment stops, so its bytes alone are compared, eight at once
+    whole = common_prefixes(np.maximum(text - 1, 0), sa, length, ends) >= length
     run = np.cumsum(~whole) - 1
     lowest = np.full(run[-1] + 1, NO_ID, np.int64)
     # only suffixes with a whole window take part

@@ -7,8 +7,8 @@ of all suffixes from theirs. For byte texts the two induction passes go bucket
 by bucket: within a character's bucket, all suffixes whose place is already
 known push their left neighbours into their buckets at once, as numpy arrays;
 neighbours in the same bucket (runs of one character) make a further round. The
-recursive texts have large alphabets and small buckets; their passes are plain
-linear scans.
+recursive texts have large alphabets and small buckets; they are sorted by
+doubling the length that is known to agree, also as numpy arrays.
 """
 
 from __future__ import annotations
@@ -96,39 +96,28 @@ def _induce_bytes(text: np.ndarray, s_type: np.ndarray, lms: np.ndarray) -> np.n
     return sa
 
 
-def _induce_names(text: np.ndarray, s_type: np.ndarray, lms: np.ndarray) -> np.ndarray:
-    """Suffix array from leftmost-S suffixes in order (large alphabets)."""
-    n, size = len(text), int(text.max()) + 1
-    counts = np.bincount(text, minlength=size)
-    ends = np.cumsum(counts)
-    t, s = text.tolist(), s_type.tolist()
-    sa = [-1] * n
-    tail = ends.tolist()
-    for p in lms[::-1].tolist():
-        c = t[p]
-        tail[c] -= 1
-        sa[tail[c]] = p
-    head = (ends - counts).tolist()
-    c = t[n - 1]
-    if not s[n - 1]:
-        sa[head[c]] = n - 1
-        head[c] += 1
-    i = 0
-    while i < n:
-        p = sa[i] - 1
-        if p >= 0 and not s[p]:
-            c = t[p]
-            sa[head[c]] = p
-            head[c] += 1
-        i += 1
-    tail = ends.tolist()
-    for i in range(n - 1, -1, -1):
-        p = sa[i] - 1
-        if p >= 0 and s[p]:
-            c = t[p]
-            tail[c] -= 1
-            sa[tail[c]] = p
-    return np.array(sa, np.int64)
+def _double(text: np.ndarray) -> np.ndarray:
+    """Suffix array by prefix doubling (large alphabets): suffixes that agree on
+    their first k characters are told apart by the ranks of the k behind those;
+    a suffix that agrees with no other isn't looked at again."""
+    n = len(text)
+    order = np.argsort(text, kind="stable")
+    live, key = np.arange(n), text[order]
+    rank = np.empty(n, np.int64)
+    k = 0
+    while True:
+        new = np.r_[True, key[1:] != key[:-1]]
+        # a suffix ranks as the first place of those that it agrees with
+        rank[order[live]] = live[np.flatnonzero(new)][np.cumsum(new) - 1]
+        live = live[~(new & np.r_[new[1:], True])]
+        if not len(live):
+            return order
+        k = max(1, 2 * k)
+        at = order[live]
+        behind = np.where(at + k < n, rank[np.minimum(at + k, n - 1)] + 1, 0)
+        key = rank[at] * (n + 1) + behind
+        sort = np.argsort(key, kind="stable")
+        order[live], key = at[sort], key[sort]
 
 
 def induced_sort(text: np.ndarray) -> np.ndarray:
@@ -139,13 +128,14 @@ def induced_sort(text: np.ndarray) -> np.ndarray:
     n = len(text)
     if n < 2:
         return np.arange(n)
-    induce = _induce_bytes if int(text.max()) < 512 else _induce_names
+    if int(text.max()) >= 512:
+        return _double(text)
     s_type = classify(text)
     lms = np.flatnonzero(s_type[1:] & ~s_type[:-1]) + 1
     if not len(lms):
-        return induce(text, s_type, lms)
+        return _induce_bytes(text, s_type, lms)
     # sort the leftmost-S substrings: induce from them in any order
-    rough = induce(text, s_type, lms)
+    rough = _induce_bytes(text, s_type, lms)
     is_lms = np.zeros(n, bool)
     is_lms[lms] = True
     ordered = rough[is_lms[rough]]
@@ -169,28 +159,34 @@ def induced_sort(text: np.ndarray) -> np.ndarray:
     if name_of[-1] + 1 < len(lms):
         sub = induced_sort(reduced)
         ordered = lms[sub]
-    return induce(text, s_type, ordered)
+    return _induce_bytes(text, s_type, ordered)
 
 
 def common_prefixes(text: np.ndarray, sa: np.ndarray, most: int, ends: np.ndarray) -> np.ndarray:
     """Length, up to ``most``, that each suffix shares with the one before it in
     the array; ``ends[i]`` is where the string that holds place i ends.
 
-    Values are made in text order (permuted): place i shares at least one less
-    than place i - 1 did, so ``most`` vectorised rounds over the places that
-    still agree do for all.
+    Values are made in text order (permuted), for all places at once: several
+    characters are compared as one word, and places that agree on it go on.
     """
     n = len(text)
     before = np.full(n, -1, np.int64)
     before[sa[1:]] = sa[:-1]
-    shared = np.zeros(n, np.int64)
     live = np.flatnonzero(before >= 0)
+    prev = before[live]
+    limit = np.zeros(n, np.int64)
+    limit[live] = np.minimum(np.minimum(ends[live] - live, ends[prev] - prev), most)
+    kind = np.min_scalar_type(int(text.max(initial=0)))
+    per = 8 // kind.itemsize
+    padded = np.zeros(n + most + per, kind)
+    padded[:n] = text
+    words = np.ndarray(n + most + 1, "<u8", padded.astype(kind.newbyteorder("<")).tobytes(), 0, (kind.itemsize,))
+    shared = np.zeros(n, np.int64)
     j = 0
-    while len(live) and j < most:
-        a, b = live + j, before[live] + j
-        ok = (a < ends[live]) & (b < ends[before[live]])
-        live, a, b = live[ok], a[ok], b[ok]
-        live = live[text[a] == text[b]]
-        shared[live] += 1
-        j += 1
+    while len(live := live[limit[live] > j]):
+        apart = words[live + j] ^ words[before[live] + j]
+        low = apart & -apart  # the lowest bit that differs
+        same = np.where(apart == 0, per, (np.frexp(low.astype(np.float64))[1] - 1) // (8 * kind.itemsize))
+        shared[live] = np.minimum(j + same, limit[live])
+        live, j = live[apart == 0], j + per
     return shared[sa]

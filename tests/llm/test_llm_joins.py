@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import sys
 
 import numpy as np
 import pytest
@@ -168,6 +169,31 @@ def test_reply_trees_pick_the_best_path(spark):
 
 # ---- 3 ----------------------------------------------------------------------
 
+def test_sorting_takes_array_steps_however_long_the_text():
+    """op3: names aren't scanned one by one, and prefixes are compared by words."""
+    rng = np.random.default_rng(5)
+    own = rng.integers(600, 5000, 3000)
+    text = np.concatenate([own, own[::-1], own, rng.integers(600, 5000, 12_000)])
+    lines = [0]
+
+    def count(frame, event, _):
+        lines[0] += event == "line"
+        return count if frame.f_code.co_filename.endswith("suffixes.py") else None
+
+    before = sys.gettrace()
+    sys.settrace(count)
+    try:
+        sa = induced_sort(text)
+        sorting = lines[0]
+        got = common_prefixes(text, sa, 48, np.full(len(text), len(text)))
+    finally:
+        sys.settrace(before)
+    assert sorting < 500 and lines[0] - sorting < 150
+    places = [tuple(text[i : i + 48].tolist()) for i in sa]
+    assert places == sorted(places)
+    assert got.tolist() == [0] + [next((j for j, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b))) for a, b in zip(places, places[1:])]
+
+
 def test_induced_sort_and_prefixes_match_brute_force():
     rng = np.random.default_rng(3)
     for _ in range(300):
