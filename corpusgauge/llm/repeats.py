@@ -7,7 +7,8 @@ meet, whatever the documents:
 1. Each 50-byte window has an anchor: its 20-byte string of the smallest hash.
    Windows of one anchor lie side by side; they form a segment. Equal windows
    have equal anchors. Anchors (hash, code of the segment, document, place) go
-   to buckets by hash, packed as arrays of a bounded part of the input each.
+   to buckets by hash, packed as arrays of a bounded part of the input each, in
+   no more bytes than their values need.
 2. An anchor of one document is done. If all segments of an anchor are equal,
    their bytes repeat the first document's as a whole. Only anchors with
    different segments need the texts: each distinct segment is cut from its
@@ -32,27 +33,45 @@ from pyspark.sql import functions as F
 
 from corpusgauge.llm.codes import BASE, _powers, mix, text_slices
 from corpusgauge.llm.suffixes import common_prefixes, induced_sort
-from corpusgauge.session import settle
+from corpusgauge.session import released_shuffles, settle
 
 U = np.uint64
 GRAM = 20
 INDEX_BITS = 24
 NO_ID = 2**63 - 1
+# anchor hashes beside their bucket; two anchors of one hash only cost work, as
+# their segments differ
+HASH_BITS = U(32)
+PRIME, FACTOR = 2**31 - 1, 1103515245
 SPAN, FETCH, USE = 0, 1, 2
 
 
 def pack(*arrays: np.ndarray) -> bytes:
-    return np.int64(len(arrays[0])).tobytes() + b"".join(np.ascontiguousarray(a, np.int64).tobytes() for a in arrays)
-
-
-def unpack(blob: bytes, n_arrays: int) -> list[np.ndarray]:
-    n = int(np.frombuffer(blob, np.int64, 1)[0])
-    flat = np.frombuffer(blob, np.int64, n * n_arrays, 8)
-    return [flat[i * n : (i + 1) * n] for i in range(n_arrays)]
+    """Integers in as few bytes as the largest of their array needs (negative
+    ones: eight), the lowest bytes of all first, then the next ones."""
+    n = len(arrays[0])
+    head, planes = [np.uint32(n).tobytes()], []
+    for a in arrays:
+        a = np.ascontiguousarray(a, "<i8").view("<u8")
+        width = (int(a.max(initial=0)).bit_length() + 7) // 8
+        head.append(bytes([width]))
+        planes.append(np.ascontiguousarray(a.view(np.uint8).reshape(n, 8)[:, :width].T).tobytes())
+    return b"".join(head + planes)
+
+
+def unpack(blob: bytes, n_arrays: int) -> tuple[list[np.ndarray], int]:
+    """The arrays, and where they end in ``blob``."""
+    n, at, out = int(np.frombuffer(blob, np.uint32, 1)[0]), 4 + n_arrays, []
+    for width in blob[4:at]:
+        wide = np.zeros((n, 8), np.uint8)
+        wide[:, :width] = np.frombuffer(blob, np.uint8, n * width, at).reshape(width, n).T
+        out.append(wide.view("<i8")[:, 0])
+        at += n * width
+    return out, at
 
 
 def gather(blobs: list[bytes], n_arrays: int) -> list[np.ndarray]:
-    parts = [unpack(b, n_arrays) for b in blobs]
+    parts = [unpack(b, n_arrays)[0] for b in blobs]
     return [np.concatenate([np.zeros(0, np.int64), *[p[i] for p in parts]]) for i in range(n_arrays)]
 
 
@@ -66,11 +85,23 @@ def by_part(part: np.ndarray, n: int, *arrays: np.ndarray) -> Iterator[tuple[int
 
 
 def home(doc: np.ndarray, th: np.ndarray, n: int) -> np.ndarray:
-    return (doc % 1000003 * 7919 + th % 1000003) % n
+    return (doc % PRIME * FACTOR + th % PRIME) % PRIME % n
 
 
 def home_column(doc: Column, th: Column, n: int) -> Column:
-    return ((F.pmod(doc, F.lit(1000003)) * 7919 + F.pmod(th, F.lit(1000003))) % n).cast("int")
+    return ((F.pmod(doc, F.lit(PRIME)) * FACTOR + F.pmod(th, F.lit(PRIME))) % PRIME % n).cast("int")
+
+
+def short_hash(keyed: DataFrame) -> tuple[DataFrame, int]:
+    """``keyed`` with ``th`` cut to the bits that tell the texts of each id
+    apart, none where every id has one text; and the bytes of all texts."""
+    for bits in (0, 32, 64):
+        short = keyed.withColumn("short", F.col("th") if bits == 64 else F.col("th").bitwiseAND(F.lit((1 << bits) - 1)))
+        by_id = short.groupBy("doc", "short").agg((F.min("th") != F.max("th")).alias("clash"), F.sum(F.octet_length("text").cast("long")).alias("size"))
+        clash, total = by_id.agg(F.max("clash"), F.sum("size")).collect()[0]
+        if not clash:
+            break
+    return short.select("doc", F.col("short").alias("th"), "text"), total or 0
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -130,8 +161,10 @@ def deal_anchors(keyed: DataFrame, n_buckets: int, length: int) -> DataFrame:
         held, size = [], 0
 
         def flush() -> pa.RecordBatch:
-            arrays = [np.concatenate(x) for x in zip(*held, strict=True)]
-            rows = list(by_part(arrays[0] % n_buckets, n_buckets, *arrays))
+            h, *rest = [np.concatenate(x) for x in zip(*held, strict=True)]
+            h, bucket = np.divmod(h.view(U), U(n_buckets))
+            h = h & ((U(1) << HASH_BITS) - U(1))
+            rows = list(by_part(bucket.view(np.int64), n_buckets, h.view(np.int64), *rest))
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "blob"])
 
         for batch in batches:
@@ -151,7 +184,10 @@ def deal_anchors(keyed: DataFrame, n_buckets: int, length: int) -> DataFrame:
 
 
 def compare_anchors(dealt: DataFrame, n_chunks: int, n_shards: int) -> DataFrame:
-    """Per bucket: ranges that repeat as a whole, segments to cut, their uses."""
+    """Per bucket: ranges that repeat as a whole, segments to cut, their uses.
+
+    A bucket's segments go to one shard, under a key of anchor and segment.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blobs: dict[int, list[bytes]] = {}
@@ -170,11 +206,14 @@ def compare_anchors(dealt: DataFrame, n_chunks: int, n_shards: int) -> DataFrame
             later = doc > low[group]
             out = []
             pick = later & ~mixed[group]
-            out += [(SPAN, *x) for x in by_part(home(doc[pick], th[pick], n_chunks), n_chunks, doc[pick], th[pick], first[pick], first[pick] + n[pick])]
+            out += [(SPAN, *x) for x in by_part(home(doc[pick], th[pick], n_chunks), n_chunks, doc[pick], th[pick], first[pick], n[pick])]
+            key = pair_code(h + (b << int(HASH_BITS)), code).view(np.int64)
             pick = fresh & mixed[group]
-            out += [(FETCH, *x) for x in by_part(home(doc[pick], th[pick], n_chunks), n_chunks, doc[pick], th[pick], first[pick], n[pick], h[pick], code[pick])]
+            shard = np.full(np.count_nonzero(pick), b % n_shards)
+            out += [(FETCH, *x) for x in by_part(home(doc[pick], th[pick], n_chunks), n_chunks, doc[pick], th[pick], first[pick], n[pick], shard, key[pick])]
             pick = later & mixed[group]
-            out += [(USE, *x) for x in by_part(h[pick] % n_shards, n_shards, h[pick], code[pick], doc[pick], th[pick], first[pick])]
+            if pick.any():
+                out.append((USE, b % n_shards, pack(key[pick], doc[pick], th[pick], first[pick])))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.binary()))], ["kind", "part", "blob"])
 
@@ -186,29 +225,24 @@ def _rows(table: pa.Table) -> dict[tuple[int, int], int]:
     return {k: i for i, k in reversed(list(enumerate(zip(docs.tolist(), ths.tolist(), strict=True))))}
 
 
-def cut_segments(n_shards: int):
+def cut_segments(docs: pa.Table, wanted: pa.Table) -> pa.Table:
     """Segments of a chunk's documents, packed by shard."""
-
-    def run(docs: pa.Table, wanted: pa.Table) -> pa.Table:
-        doc, th, first, n, h, code = gather(wanted.column("blob").to_pylist(), 6)
-        at = _rows(docs)
-        texts = docs.column("text")
-        rows = np.array([at[k] for k in zip(doc.tolist(), th.tolist(), strict=True)], np.int64)
-        order = np.argsort(rows, kind="stable")
-        cut = [b""] * len(rows)
-        last, raw = -1, b""
-        for i in order.tolist():
-            if rows[i] != last:
-                last, raw = rows[i], texts[int(rows[i])].as_py().encode()
-            cut[i] = raw[first[i] : first[i] + n[i]]
-        shard = h % n_shards
-        out = []
-        for s in np.unique(shard).tolist():
-            pick = np.flatnonzero(shard == s)
-            out.append((s, pack(h[pick], code[pick], doc[pick], n[pick]) + b"".join(cut[i] for i in pick)))
-        return pa.table({"shard": pa.array([r[0] for r in out], pa.int32()), "segments": pa.array([r[1] for r in out], pa.binary())})
-
-    return run
+    doc, th, first, n, shard, key = gather(wanted.column("blob").to_pylist(), 6)
+    at = _rows(docs)
+    texts = docs.column("text")
+    rows = np.array([at[k] for k in zip(doc.tolist(), th.tolist(), strict=True)], np.int64)
+    order = np.argsort(rows, kind="stable")
+    cut = [b""] * len(rows)
+    last, raw = -1, b""
+    for i in order.tolist():
+        if rows[i] != last:
+            last, raw = rows[i], texts[int(rows[i])].as_py().encode()
+        cut[i] = raw[first[i] : first[i] + n[i]]
+    out = []
+    for s in np.unique(shard).tolist():
+        pick = np.flatnonzero(shard == s)
+        out.append((s, pack(key[pick], doc[pick], n[pick]) + b"".join(cut[i] for i in pick)))
+    return pa.table({"shard": pa.array([r[0] for r in out], pa.int32()), "segments": pa.array([r[1] for r in out], pa.binary())})
 
 
 def window_runs(texts: list[bytes], doc: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
@@ -249,31 +283,28 @@ def repeated_ranges(length: int, n_chunks: int):
     """Per shard: the removed ranges of all uses of its segments."""
 
     def run(segments: pa.Table, uses: pa.Table) -> pa.Table:
-        texts, hs, codes, docs = [], [], [], []
+        texts, keys, docs = [], [], []
         for blob in segments.column("segments").to_pylist():
-            h, code, doc, n = unpack(blob, 4)
-            at = 8 + 32 * len(h)
+            (key, doc, n), at = unpack(blob, 3)
             edge = at + np.r_[0, np.cumsum(n)]
             texts += [blob[edge[i] : edge[i + 1]] for i in range(len(n))]
-            hs.append(h)
-            codes.append(code)
+            keys.append(key)
             docs.append(doc)
         if not texts or not uses.num_rows:
             return pa.table({"part": pa.array([], pa.int32()), "blob": pa.array([], pa.binary())})
-        h, code, doc = (np.concatenate(x) for x in (hs, codes, docs))
-        owner, start, end, source = window_runs(texts, doc, length)
+        owner, start, end, source = window_runs(texts, np.concatenate(docs), length)
         runs = np.searchsorted(owner, np.arange(len(texts) + 1))
-        keys = pair_code(h, code)
+        keys = np.concatenate(keys)
         order = np.argsort(keys)
-        h, code, doc, th, first = gather(uses.column("blob").to_pylist(), 5)
-        segment = order[np.searchsorted(keys[order], pair_code(h, code))]
+        key, doc, th, first = gather(uses.column("blob").to_pylist(), 4)
+        segment = order[np.searchsorted(keys[order], key)]
         # each use with each run of its segment
         n = runs[segment + 1] - runs[segment]
-        use = np.repeat(np.arange(len(h)), n)
+        use = np.repeat(np.arange(len(key)), n)
         pick = np.repeat(runs[segment], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         earlier = source[pick] < doc[use]
         use, pick = use[earlier], pick[earlier]
-        cols = (doc[use], th[use], first[use] + start[pick], first[use] + end[pick] - 1 + length)
+        cols = (doc[use], th[use], first[use] + start[pick], end[pick] - start[pick] - 1 + length)
         out = list(by_part(home(cols[0], cols[1], n_chunks), n_chunks, *cols))
         return pa.table({"part": pa.array([r[0] for r in out], pa.int32()), "blob": pa.array([r[1] for r in out], pa.binary())})
 
@@ -285,9 +316,9 @@ KEPT = "id long, n_bytes long, spans array<long>, kept binary"
 
 def cut_out(docs: pa.Table, ranges: pa.Table) -> pa.Table:
     """Each document of a chunk without its ranges."""
-    doc, th, first, end = gather(ranges.column("blob").to_pylist(), 4)
+    doc, th, first, n = gather(ranges.column("blob").to_pylist(), 4)
     order = np.lexsort((first, th, doc))
-    doc, th, first, end = (x[order] for x in (doc, th, first, end))
+    doc, th, first, end = (x[order] for x in (doc, th, first, first + n))
     new = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (th[1:] != th[:-1])]) if len(doc) else np.zeros(0, np.int64)
     stop = np.r_[new[1:], len(doc)] if len(new) else new
     part = {(int(doc[a]), int(th[a])): (a, b) for a, b in zip(new, stop, strict=True)}
@@ -323,14 +354,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         raise ValueError(f"strings of fewer than {GRAM} bytes have no anchor")
     spark = docs.sparkSession
     keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("th"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    total = keyed.agg(F.sum(F.octet_length("text").cast("long"))).collect()[0][0] or 0
+    keyed, total = short_hash(keyed)
     n_chunks = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // chunk_bytes))
     n_shards = 2 * n_chunks
     dealt = deal_anchors(keyed, 4 * n_chunks, length).repartition(n_chunks, "bucket")
-    compared = settle(compare_anchors(dealt, n_chunks, n_shards))
+    with released_shuffles(spark):  # else the anchors stay on disk beside the texts
+        compared = settle(compare_anchors(dealt, n_chunks, n_shards))
     of_kind = lambda k: compared.filter(F.col("kind") == k).select("part", "blob")
     at_home = keyed.withColumn("chunk", home_column(F.col("doc"), F.col("th"), n_chunks))
-    segments = at_home.groupBy("chunk").cogroup(of_kind(FETCH).groupBy("part")).applyInArrow(cut_segments(n_shards), "shard int, segments binary")
+    segments = at_home.groupBy("chunk").cogroup(of_kind(FETCH).groupBy("part")).applyInArrow(cut_segments, "shard int, segments binary")
     ranges = segments.groupBy("shard").cogroup(of_kind(USE).groupBy("part")).applyInArrow(repeated_ranges(length, n_chunks), "part int, blob binary")
     spans = of_kind(SPAN).unionByName(ranges)
     return at_home.groupBy("chunk").cogroup(spans.groupBy("part")).applyInArrow(cut_out, KEPT)

@@ -1,9 +1,11 @@
 """Operators that compare documents, hosts and messages: 1, 2, 3, 4, 6."""
 
 import hashlib
+import os
 import random
 import re
 import sys
+import time
 
 import numpy as np
 import pytest
@@ -264,6 +266,62 @@ def test_repeats_match_brute_force(spark, monkeypatch, small_index):
     assert repeats.remove_repeats(docs_of(spark, [])).count() == 0
 
 
+def test_repeats_of_single_ids_match_brute_force(spark):
+    rows = list(enumerate([*ODD, *random_copies(random.Random(5), 40)], -3))
+    got = repeats.remove_repeats(docs_of(spark, rows), chunk_bytes=1000).collect()
+    assert sorted(((r.id, r.n_bytes, list(r.spans), bytes(r.kept)) for r in got), key=repr) == brute_repeats(rows)
+
+
+def test_repeats_pack_keeps_values():
+    odd = [np.array(x, np.int64) for x in ([0, 0, 0], [255, 0, 7], [256, 1, 2], [2**63 - 1, -(2**63), -1], [2**40, 5, 6])]
+    for arrays in (odd, [x[:0] for x in odd]):
+        blob = repeats.pack(*arrays) + b"text"
+        got, end = repeats.unpack(blob, len(arrays))
+        assert [x.tolist() for x in got] == [x.tolist() for x in arrays] and blob[end:] == b"text"
+    assert len(repeats.pack(np.zeros(1000, np.int64), np.full(1000, 200))) < 1100
+
+
+def keyed_of(spark, rows):
+    return docs_of(spark, rows).select(F.col("doc_id").alias("doc"), F.xxhash64("text").alias("th"), "text")
+
+
+def test_repeats_hash_texts_only_where_ids_clash(spark):
+    short = lambda rows: [r.th for r in repeats.short_hash(keyed_of(spark, rows))[0].orderBy("doc", "text").collect()]
+    assert short([(1, "a"), (2, "b"), (2, "b")]) == [0, 0, 0]
+    one, other, third = short([(1, "a"), (1, "b"), (2, "c")])
+    assert one != other and max(one, other, third) < 2**32
+    assert repeats.short_hash(keyed_of(spark, [(1, "ab"), (1, "é")]))[1] == 4
+    assert repeats.short_hash(keyed_of(spark, []))[1] == 0
+
+
+def random_texts(n):
+    rng = random.Random(6)
+    return [(i, "".join(rng.choices("abcdefgh ", k=2000))) for i in range(n)]
+
+
+def test_repeats_anchors_take_few_bytes(spark):
+    rows = random_texts(100)
+    buf = np.frombuffer("".join(t for _, t in rows).encode(), np.uint8)
+    n = sum(len(x[0]) for x in repeats.text_anchors(buf, np.arange(101) * 2000, 50))
+    dealt = repeats.deal_anchors(keyed_of(spark, rows).withColumn("th", F.lit(0).cast("long")), 8, 50)
+    # 48 bytes each when all were whole words
+    assert dealt.agg(F.sum(F.octet_length("blob"))).collect()[0][0] < 17 * n
+
+
+def test_repeats_anchors_leave_the_disk(spark):
+    def shuffled():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n")
+        return {f: os.path.getsize(f) for f in files if re.search(r"/shuffle_\d+_\d+_\d+\.data$", f) and os.path.exists(f)}
+
+    rows, before = random_texts(200), shuffled()
+    repeats.remove_repeats(docs_of(spark, rows))
+    for _ in range(50):
+        if (left := sum(n for f, n in shuffled().items() if f not in before)) < 40_000:
+            return
+        time.sleep(0.1)
+    raise AssertionError(f"{left} bytes are left of the shuffles of 400000 bytes of text")
+
+
 # ---- 4 ----------------------------------------------------------------------
 
 def shingles(t):
