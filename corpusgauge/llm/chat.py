@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusgauge.session import settle
+from corpusgauge.session import Rounds, settle
 
 OPEN, MIDDLE, CLOSE = "### ", ": ", "</turn>\n"
 BLOCK = 64
@@ -78,32 +78,38 @@ def best_paths(messages: DataFrame, n_paths: int = 1) -> DataFrame:
     no root and are on no path. A repeated (tree, msg) is one message with its
     smallest parent and largest score. A null tree is a tree.
     """
-    nodes = messages.groupBy("tree", "msg").agg(F.min("parent").alias("parent"), F.max(F.coalesce("score", F.lit(0.0))).cast("double").alias("score"))
-    known = nodes.select(F.col("tree").alias("t2"), F.col("msg").alias("m2"))
+    # each message once, and a row for the one it answers, which so is no leaf
+    kind = messages.schema["msg"].dataType
+    nodes = messages.groupBy("tree", "msg").agg(F.min("parent").try_cast(kind).alias("up"), F.max(F.coalesce("score", F.lit(0.0))).cast("double").alias("total"))
+    own = F.struct("tree", "msg", "up", "total", F.lit(True).alias("leaf"))
+    answered = F.struct("tree", F.col("up").alias("msg"), F.lit(None).cast(kind).alias("up"), F.lit(None).cast("double").alias("total"), F.lit(False).alias("leaf"))
+    rows = nodes.select(F.inline(F.array(own, answered))).filter("msg is not null")
+    first = rows.groupBy("tree", "msg").agg(F.max("up").alias("up"), F.max("total").alias("total"), F.min("leaf").alias("leaf")).filter("total is not null")
+    # up: the ancestor 2**round steps above (null: beyond the root), the number
+    # of messages below it and their score; only messages as deep as that are in
+    # a round, the others have reached their root. The left join ends a path
+    # whose next parent is missing
+    jumps = Rounds(messages.sparkSession)
+    n = jumps.add(first.withColumn("n", F.lit(1).cast("long")))
     same = F.col("tree").eqNullSafe(F.col("t2"))
-    nodes = nodes.join(known, same & (F.col("parent") == F.col("m2")), "left").select("tree", "msg", F.col("m2").alias("parent"), "score")
-    has_child = nodes.select(F.col("tree").alias("t2"), F.col("parent").alias("m2")).filter("m2 is not null").distinct()
-    leaf = nodes.join(has_child, same & (F.col("msg") == F.col("m2")), "left_anti").select("tree", "msg")
-    # up: the ancestor 2**k steps above, the steps and the score up to it; only
-    # messages as deep as that take part, the others have reached their root
-    first = settle(nodes.select("tree", "msg", F.col("parent").alias("up"), F.when(F.col("parent").isNotNull(), 1).otherwise(0).cast("long").alias("steps"), F.col("score").alias("total")))
-    done, jumps = first.filter("up is null"), [first.filter("up is not null")]
-    n = first.count()
-    while len(jumps) <= n.bit_length() + 1 and jumps[-1].limit(1).count():
-        above = jumps[-1].unionByName(done).select(F.col("tree").alias("t2"), F.col("msg").alias("m2"), F.col("up").alias("up2"), F.col("steps").alias("s2"), F.col("total").alias("sum2"))
-        both = jumps[-1].join(above, same & (F.col("up") == F.col("m2")))
-        new = settle(both.select("tree", "msg", F.col("up2").alias("up"), (F.col("steps") + F.col("s2")).alias("steps"), (F.col("total") + F.col("sum2")).alias("total")))
-        done = done.unionByName(new.filter("up is null"))
-        jumps.append(new.filter("up is not null"))
-    ends = done.join(leaf.select(F.col("tree").alias("t2"), F.col("msg").alias("m2")), same & (F.col("msg") == F.col("m2")), "left_semi")
-    rank = F.row_number().over(Window.partitionBy("tree").orderBy((F.col("total") / (F.col("steps") + 1)).desc(), "msg"))
-    chosen = ends.withColumn("path_rank", rank).filter(F.col("path_rank") <= n_paths)
-    path = chosen.select("tree", F.col("msg").alias("leaf"), "path_rank", F.col("steps").alias("depth"), "msg")
-    for k, jump in enumerate(jumps[:-1]):
-        up = jump.select(F.col("tree").alias("t2"), F.col("msg").alias("m2"), F.col("up").alias("to"))
-        higher = path.join(up, same & (F.col("msg") == F.col("m2"))).select("tree", "leaf", "path_rank", (F.col("depth") - 2**k).alias("depth"), F.col("to").alias("msg"))
-        path = settle(path.unionByName(higher))
-    return path
+    live = n
+    while live and jumps.n <= n.bit_length():
+        now = F.col("round") == jumps.n - 1
+        below = jumps.read().filter(now & F.col("up").isNotNull()).drop("round")
+        above = jumps.read().filter(now | F.col("up").isNull()).select(F.col("tree").alias("t2"), F.col("msg").alias("m2"), F.col("up").alias("up2"), F.col("n").alias("n2"), F.col("total").alias("sum2"))
+        both = below.join(above, same & (F.col("up") == F.col("m2")), "left")
+        live = jumps.add(both.select("tree", "msg", F.col("up2").alias("up"), (F.col("total") + F.coalesce("sum2", F.lit(0.0))).alias("total"), "leaf", (F.col("n") + F.coalesce("n2", F.lit(0))).alias("n")), F.count("up"))
+    rank = F.row_number().over(Window.partitionBy("tree").orderBy((F.col("total") / F.col("n")).desc(), "msg"))
+    chosen = jumps.read().filter("leaf and up is null").withColumn("path_rank", rank).filter(F.col("path_rank") <= n_paths)
+    # down: each round adds what lies 2**round steps above the part known so far
+    path = Rounds(messages.sparkSession)
+    found = path.add(chosen.select("tree", F.col("msg").alias("leaf"), "path_rank", (F.col("n") - 1).alias("depth"), "msg"))
+    while found and path.n < jumps.n:
+        k = path.n - 1
+        up = jumps.read().filter((F.col("round") == k) & F.col("up").isNotNull()).select(F.col("tree").alias("t2"), F.col("msg").alias("m2"), F.col("up").alias("to"))
+        deep = path.read().filter(F.col("depth") >= 2**k)
+        found = path.add(deep.join(up, same & (F.col("msg") == F.col("m2"))).select("tree", "leaf", "path_rank", (F.col("depth") - 2**k).alias("depth"), F.col("to").alias("msg")))
+    return path.read().drop("round")
 
 
 ASSEMBLED = "formatted string, loss_spans array<struct<start:long,end:long>>"

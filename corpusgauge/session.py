@@ -9,7 +9,9 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -64,6 +66,30 @@ def settle(df: DataFrame, partitions: int | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Rounds:
+    """A table in the shared folder that a loop adds to, a part for each round.
+
+    It is read in one scan however many rounds there are, with the column
+    ``round`` (from 0), by which parts that a filter rules out aren't read.
+    """
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.schema, self.n = spark, None, 0
+        self.path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+        WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(self.path)
+
+    def add(self, df: DataFrame, seen: Column | None = None) -> int:
+        """Write ``df`` as the next round; returns ``seen``, an aggregate over its
+        rows (their number by default), from the same pass."""
+        observed = Observation()
+        df.observe(observed, (F.count(F.lit(1)) if seen is None else seen).alias("seen")).write.parquet(f"{self.path}/round={self.n}")
+        self.schema, self.n = df.schema, self.n + 1
+        return observed.get["seen"]
+
+    def read(self) -> DataFrame:
+        return self.spark.read.schema(T.StructType([*self.schema, T.StructField("round", T.IntegerType())])).parquet(self.path)
+
+
 @contextmanager
 def released_shuffles(spark: SparkSession) -> Iterator[None]:
     """What is written inside drops its shuffle files as soon as it is written;

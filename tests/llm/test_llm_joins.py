@@ -9,6 +9,7 @@ import time
 
 import numpy as np
 import pytest
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from corpusgauge.llm import chat, hosts, jaccard, lines, repeats
@@ -169,6 +170,36 @@ def test_reply_trees_pick_the_best_path(spark):
     assert made == {t: [f"{t}.{m}" for m in p] for t, p in want.items() if p}
 
 
+def test_reply_trees_take_small_plans_however_deep(spark, monkeypatch):
+    """op2: each round reads the tables before it in one scan and joins once, so
+    that the driver doesn't hold plans that grow with the number of rounds."""
+    scans = []
+
+    def leaves(df):
+        return df._jdf.queryExecution().optimizedPlan().collectLeaves().size()
+
+    write = DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, *a, **b: (scans.append(leaves(self._df)), write(self, *a, **b))[1])
+    rows = [(1, m, m - 1 if m else None, "user", f"turn {m}", 0.5) for m in range(150)] + [(2, 0, None, "user", "x", 1.0)]
+    df = spark.createDataFrame(rows, "tree long, msg long, parent long, role string, text string, score double")
+    made = chat.format_trees(df)
+    assert leaves(made) <= 2 and max(scans) <= 2 and len(scans) <= 2 * (1 + (150).bit_length())
+    assert {r.tree: chat.read_back(r.formatted) for r in made.collect()} == {1: [("user", f"turn {m}") for m in range(150)], 2: [("user", "x")]}
+
+
+def test_reply_trees_with_odd_parents(spark):
+    """A missing parent at any height ends the path there; a message repeated
+    with another parent is answered only by what counts."""
+    rows = [(None, m, m - 1, 1.0) for m in range(10)]  # the first one's parent is missing
+    rows += [(4, 1, None, 1.0), (4, 2, 1, 5.0), (4, 3, 1, 1.0), (4, 3, 2, 2.0)]  # 3 answers 1, so 2 is a leaf
+    rows += [(5, 1, 1, 1.0)]  # answers itself
+    df = spark.createDataFrame(rows, "tree long, msg long, parent long, score double")
+    got = {}
+    for r in sorted(chat.best_paths(df, 2).collect(), key=lambda r: r.depth):
+        got.setdefault((r.tree, r.path_rank), []).append((r.leaf, r.depth, r.msg))
+    assert got == {(None, 1): [(9, d, d) for d in range(10)], (4, 1): [(2, 0, 1), (2, 1, 2)], (4, 2): [(3, 0, 1), (3, 1, 3)]}
+
+
 # ---- 3 ----------------------------------------------------------------------
 
 def test_sorting_takes_array_steps_however_long_the_text():
